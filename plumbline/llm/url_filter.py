@@ -63,10 +63,12 @@ def _codes(url: Column) -> Column:
 
 def _grams(codes: Column) -> Column:
     """Every (two symbols of context, next symbol) as one number."""
-    return F.transform(
-        F.slice(codes, F.lit(3), F.greatest(F.size(codes) - 2, F.lit(0))),
-        lambda c, i: (F.element_at(codes, i + 1) * ALPHABET + F.element_at(codes, i + 2)) * ALPHABET + c,
+    cell = lambda cs: F.transform(
+        F.slice(cs, F.lit(3), F.greatest(F.size(cs) - 2, F.lit(0))),
+        lambda c, i: (F.element_at(cs, i + 1) * ALPHABET + F.element_at(cs, i + 2)) * ALPHABET + c,
     )
+    # Bound as a lambda variable, ``codes`` is computed once per row and not once per symbol.
+    return F.get(F.transform(F.array(codes), cell), F.lit(0))
 
 
 def _witten_bell(counts: dict[int, int]) -> list[float]:
@@ -111,9 +113,10 @@ def fit(df: DataFrame, url_col: str = "url", label_col: str = "verdict") -> list
 def score(url: Column, weights: list[int]) -> Column:
     """Length-normalised log-likelihood difference in whole 1/UNIT (rounded towards zero)."""
     table = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<bigint>")
-    grams = _grams(_codes(url))
-    total = F.aggregate(grams, F.lit(0).cast("bigint"), lambda s, g: s + F.get(table, g.cast("int")))
-    return F.coalesce(F.try_divide(total, F.size(grams)), F.lit(0.0))
+    mean = lambda g: F.try_divide(
+        F.aggregate(g, F.lit(0).cast("bigint"), lambda s, x: s + F.get(table, x.cast("int"))), F.size(g)
+    )
+    return F.coalesce(F.get(F.transform(F.array(_grams(_codes(url))), mean), F.lit(0)), F.lit(0.0))
 
 
 def calibrate(scored: DataFrame, label_col: str = "verdict", score_col: str = "score") -> float:
