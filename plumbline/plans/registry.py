@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.plans import audit, corpus, corruption, framework
+
 Query = Callable[[SparkSession, str], DataFrame]
+_MODULES = (corpus, corruption, audit, framework)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: fn for m in _MODULES for name, (fn, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in _MODULES for name, (_, sql) in m.QUERIES.items() if sql}
