@@ -33,21 +33,22 @@ def encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(lambda chunks: encode_chunks(tok, chunks, offsets=True), SPACED, ODD_SPACE)
 
 
-def section_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", separator: str = "\n") -> DataFrame:
-    """Per document and section (the text between separators, in order): section, start, end, n_tokens."""
-    cut = re.compile(re.escape(separator))
+COLUMNS = ("section", "start", "end", "n_tokens")
+
+
+def _attribute(df: DataFrame, path: str, id_col: str, edges_of) -> DataFrame:
+    """df has (id, text[, more]); ``edges_of(text, more)`` gives the sections' edges, from 0 to the text's length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in batches:
             rows, section, start, end, n = [], [], [], [], []
-            for i, text in enumerate(b.column(1).to_pylist()):
+            more = b.column(2).to_pylist() if b.num_columns > 2 else [None] * b.num_rows
+            for i, (text, m) in enumerate(zip(b.column(1).to_pylist(), more, strict=True)):
                 text = text or ""
                 _, first = enc.spans(text)
-                edges = np.array([0, *(m.end() for m in cut.finditer(text)), len(text)], np.int64)
-                if len(edges) > 2 and edges[-1] == edges[-2]:
-                    edges = edges[:-1]
-                # `first` never falls: tokens are in text order
+                edges = edges_of(text, m)
+                # ``first`` never falls: tokens are in text order
                 at = np.searchsorted(first, edges[:-1], "left")
                 k = len(edges) - 1
                 rows.append(np.full(k, i))
@@ -56,18 +57,32 @@ def section_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                 end.append(edges[1:])
                 n.append(np.diff(np.append(at, len(first))))
             join = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(join(rows), pa.int64())), *(pa.array(join(x), pa.int64()) for x in (section, start, end, n))],
-                [id_col, "section", "start", "end", "n_tokens"],
-            )
+            out = [pa.array(join(x), pa.int64()) for x in (section, start, end, n)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(join(rows), pa.int64())), *out], [id_col, *COLUMNS])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, section bigint, start bigint, end bigint, n_tokens bigint")
+    return df.mapInArrow(run, f"{id_col} {kind}, " + ", ".join(f"{c} bigint" for c in COLUMNS))
+
+
+def section_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", separator: str = "\n") -> DataFrame:
+    """Per document and section (the text between separators, in order): section, start, end, n_tokens."""
+    cut = re.compile(re.escape(separator))
+
+    def edges_of(text: str, _) -> np.ndarray:
+        edges = np.array([0, *(m.end() for m in cut.finditer(text)), len(text)], np.int64)
+        return edges[:-1] if len(edges) > 2 and edges[-1] == edges[-2] else edges
+
+    return _attribute(df.select(id_col, text_col), path, id_col, edges_of)
+
+
+def field_counts(df: DataFrame, path: str, fields: list[str], id_col: str = "doc_id") -> DataFrame:
+    """Per row and named field, the fields being joined to one document by line ends; each line end belongs to the field before it."""
+    texts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in fields]
+    joined = df.select(id_col, F.concat_ws("\n", *texts).alias("_joined"), F.array(*map(F.length, texts)).alias("_lengths"))
 
+    def edges_of(text: str, lengths: list[int]) -> np.ndarray:
+        ends = np.cumsum(np.array(lengths, np.int64) + 1)
+        return np.append(0, np.minimum(ends, len(text)))
 
-def field_counts(df: DataFrame, path: str, fields: list[str], id_col: str = "doc_id", separator: str = "␞") -> DataFrame:
-    """Per row and named field, when the fields are joined to one document by ``separator`` (a character that no field holds)."""
-    text = F.concat_ws(separator, *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in fields))
-    counts = section_counts(df.select(id_col, text.alias("_joined")), path, id_col, "_joined", separator)
-    names = F.array(*map(F.lit, fields))
-    return counts.withColumn("field", F.get(names, F.col("section").cast("int")))
+    counts = _attribute(joined, path, id_col, edges_of)
+    return counts.withColumn("field", F.get(F.array(*map(F.lit, fields)), F.col("section").cast("int")))
