@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from plumbline.llm.chunks import ODD_SPACE, SPACED, ChunkEncoder, Encoded, encode_chunks
 
@@ -78,8 +79,8 @@ def encoder(path: str, pattern: str) -> ChunkEncoder:
 
 def encode_column(df: DataFrame, path: str, pattern: str, text_col: str = "text", out: str = "ids") -> DataFrame:
     """``df`` with its text's ids as ``array<int>``."""
-    schema = df.drop(out).schema.simpleString().removeprefix("struct<").removesuffix(">")
-    names = [c for c in df.columns if c != out]
+    own = df.drop(out)
+    names = own.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, pattern)
@@ -88,7 +89,7 @@ def encode_column(df: DataFrame, path: str, pattern: str, text_col: str = "text"
             ids = pa.array([x.astype(np.int32) for x in enc.documents(texts)], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in names), ids], [*names, out])
 
-    return df.mapInArrow(run, f"{schema}, {out} array<int>")
+    return own.mapInArrow(run, StructType([*own.schema.fields, StructField(out, ArrayType(IntegerType()))]))
 
 
 def decode_bytes(ids: list[int], table: list[bytes]) -> bytes:

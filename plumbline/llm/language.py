@@ -83,11 +83,11 @@ def ftrl(who, slot, value, y, n_langs, alpha=0.5, beta=1.0, l1=1e-3, l2=1e-3, ep
 
 def fit(docs: DataFrame, learn: Column, max_rows: int = 4000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """The model of the rows with a language for which ``learn`` holds; None if there are none."""
-    known = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    ids = known.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"))
-    chosen = ids.orderBy(F.xxhash64("_id"), "_id", "_lang").limit(max_rows).select("_id").distinct()
+    known = docs.filter(learn).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"))
+    known = known.filter("lang IS NOT NULL AND text IS NOT NULL")
+    chosen = known.select("id", "lang").orderBy(F.xxhash64("id"), "id", "lang").limit(max_rows).select(F.col("id").alias("_id")).distinct()
     # At most max_rows ids; rows that repeat an id count once.
-    sample = cut(known.join(F.broadcast(chosen), known[id_col] == chosen["_id"]).select(id_col, F.col(lang_col).alias("lang"), F.col(text_col).alias("text")))
+    sample = cut(known.join(F.broadcast(chosen), F.col("id") == F.col("_id")).select("id", "lang", "text"))
     langs = sorted(r[0] for r in sample.select("lang").distinct().limit(max_rows).collect())
     if not langs:
         return None
@@ -101,12 +101,16 @@ def fit(docs: DataFrame, learn: Column, max_rows: int = 4000, id_col: str = "doc
                 ["id", "lang", "slot", "value"],
             )
 
-    data = sample.mapInArrow(rows, f"id {docs.schema[id_col].dataType.simpleString()}, lang string, slot array<int>, value array<float>").toPandas()
-    data = data.sort_values(["id", "lang"], kind="stable").drop_duplicates("id").reset_index(drop=True)
-    y = data["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(np.int64)
-    lengths = data["slot"].map(len).to_numpy()
+    data = sample.mapInArrow(rows, f"id {docs.schema[id_col].dataType.simpleString()}, lang string, slot array<int>, value array<float>").toArrow().combine_chunks()
+    keys = data.select(["id", "lang"]).to_pandas()
+    order = keys.sort_values(["id", "lang"], kind="stable").drop_duplicates("id").index.to_numpy()
+    y = keys["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(np.int64)[order]
+    runs = data["slot"].combine_chunks()
+    start, lengths = runs.offsets.to_numpy()[order], np.diff(runs.offsets.to_numpy())[order]
+    at = np.arange(lengths.sum()) + np.repeat(start - (np.cumsum(lengths) - lengths), lengths)
     who = np.repeat(np.arange(len(y)), lengths)
-    slot, value = np.concatenate(data["slot"].tolist()).astype(np.int64), np.concatenate(data["value"].tolist()).astype(np.float64)
+    slot = runs.values.to_numpy()[at].astype(np.int64)
+    value = data["value"].combine_chunks().values.to_numpy()[at].astype(np.float64)
     idf = np.log((1 + len(y)) / (1 + np.bincount(slot, minlength=1 << BITS))) + 1
     value = value * idf[slot] * 30  # a scale near 1 for the commonest n-grams
     back = np.arange(len(y)) % 5 == 4

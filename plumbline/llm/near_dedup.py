@@ -31,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from plumbline.session import cut
 
@@ -141,7 +142,7 @@ def _shingles_cache():
     return get
 
 
-def _sketches(df: DataFrame, id_col: str, text_col: str, bands: int, rows: int) -> DataFrame:
+def _sketches(df: DataFrame, id_col: str, text_col: str, bands: int, rows: int, carry: tuple[str, ...]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             node, keys = [], []
@@ -149,10 +150,13 @@ def _sketches(df: DataFrame, id_col: str, text_col: str, bands: int, rows: int)
                 w = words_of(t)
                 node.append(digest_of(w))
                 keys.append(sketch(labelled(w), bands, rows))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "node", "keys"])
+            made = [b.column(0), pa.array(node, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*made, *b.columns[2:]], ["id", "node", "keys", *carried])
 
-    kind = df.schema[id_col].dataType.simpleString()
-    made = df.select(id_col, text_col).mapInArrow(run, f"id {kind}, node binary, keys array<bigint>")
+    carried = [f"carry_{c}" for c in carry]
+    kinds = [df.schema[id_col].dataType, BinaryType(), ArrayType(LongType()), *(df.schema[c].dataType for c in carry)]
+    schema = StructType([*map(StructField, ["id", "node", "keys", *carried], kinds)])
+    made = df.select(id_col, text_col, *carry).mapInArrow(run, schema)
     return cut(made.withColumn("row", F.monotonically_increasing_id()))
 
 
@@ -177,9 +181,10 @@ def classes(
     similarity: float = 0.8,
     bands: int = 20,
     rows: int = 2,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per row of ``df``: id, class_id (its class's smallest id), class_size, kept (one row by class)."""
-    sk = _sketches(df, id_col, text_col, bands, rows)
+    """One row per row of ``df``: id, class_id (its class's smallest id), class_size, kept (one row by class), and the columns in ``carry``."""
+    sk = _sketches(df, id_col, text_col, bands, rows, carry)
     first = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row"))
     nodes = cut(sk.groupBy("node").agg(F.min(first).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys")))
 
@@ -208,11 +213,12 @@ def classes(
     known = nodes.drop("keys").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     best = known.groupBy("comp").agg(F.min("rep").alias("best"), F.sum("copies").alias("class_size"))
     placed = known.select("node", "comp").join(best, "comp").drop("comp")
-    return sk.select("id", "row", "node").join(placed, "node").select(
+    return sk.drop("keys").join(placed, "node").select(
         F.col("id").alias(id_col),
         F.col("best.id").alias("class_id"),
         "class_size",
         (F.col("row") == F.col("best.row")).alias("kept"),
+        *(F.col(f"carry_{c}").alias(c) for c in carry),
     )
 
 

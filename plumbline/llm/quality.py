@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 from plumbline.session import cut
 
@@ -166,7 +167,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 2000, id_col: str =
     known = labels.filter(F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("q"))
     order = F.xxhash64("_id")
     chosen = known.filter("q = 1").orderBy(order, "_id").limit(max_rows).unionByName(known.filter("q = 0").orderBy(order, "_id").limit(max_rows))
-    sample = cut(docs.join(F.broadcast(chosen), docs[id_col] == chosen["_id"]).select(F.col(text_col).cast("string").alias("text"), F.col("q").cast("int").alias("q")))
+    source = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("text"))
+    # At most 2 * max_rows ids.
+    sample = cut(source.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("text", F.col("q").cast("int").alias("q")))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -187,8 +190,8 @@ ADDED = (*BASE, "base_failed", "kept", "content_share")
 
 def judge_column(df: DataFrame, model: Crf | None, text_col: str = "text", min_words: int = 20, least_share: float = 0.5) -> DataFrame:
     """``df`` with the base counts, base_failed, content_share and kept."""
-    names = [c for c in df.columns if c not in ADDED]
-    schema = df.select(*names).schema.simpleString().removeprefix("struct<").removesuffix(">")
+    own_columns = df.drop(*ADDED)
+    names = own_columns.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -204,7 +207,8 @@ def judge_column(df: DataFrame, model: Crf | None, text_col: str = "text", min_w
             own = [b.column(b.schema.get_field_index(n)) for n in names]
             yield pa.RecordBatch.from_arrays([*own, *map(pa.array, base), pa.array(failed, pa.bool_()), pa.array(kept, pa.bool_()), pa.array(share, pa.float64())], [*names, *ADDED])
 
-    return df.select(*names).mapInArrow(run, f"{schema}, " + ", ".join(f"{c} bigint" for c in BASE) + ", base_failed boolean, kept boolean, content_share double")
+    kinds = [*[LongType()] * len(BASE), BooleanType(), BooleanType(), DoubleType()]
+    return own_columns.mapInArrow(run, StructType([*own_columns.schema.fields, *map(StructField, ADDED, kinds)]))
 
 
 def judge(df: DataFrame, model: Crf | None, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from plumbline.llm.ngrams import slots
 from plumbline.session import cut
@@ -67,7 +68,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, learn: Column, max_posit
     take = lambda y, n: known.filter(F.col("y") == y).orderBy(order, "_id").limit(n)
     chosen = take(1, max_positive).unionByName(take(0, max_negative))
     # At most max_positive + max_negative rows.
-    return docs.join(F.broadcast(chosen), docs[id_col] == chosen["_id"]).select(F.col(text_col).cast("string").alias("text"), F.col("y").cast("int").alias("y"))
+    texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("text"))
+    return texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("text", F.col("y").cast("int").alias("y"))
 
 
 def fit(
@@ -159,8 +161,8 @@ def score_column(df: DataFrame, model: Model | None, text_col: str = "text", out
     """``df`` with a score from 0 to 1 (1: toxic is likelier) of each whole text."""
     if model is None:
         return df.withColumn(out, F.lit(0.0))
-    names = [c for c in df.columns if c != out]
-    schema = df.drop(out).schema.simpleString().removeprefix("struct<").removesuffix(">")
+    own = df.drop(out)
+    names = own.columns
     shared = df.sparkSession.sparkContext.broadcast((model.slot.astype(np.int32), model.value, model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +172,7 @@ def score_column(df: DataFrame, model: Model | None, text_col: str = "text", out
             s = score_texts(b.column(b.schema.get_field_index(text_col)).to_pylist(), m, table)
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in names), pa.array(s)], [*names, out])
 
-    return df.mapInArrow(run, f"{schema}, {out} double")
+    return df.mapInArrow(run, StructType([*own.schema.fields, StructField(out, DoubleType())]))
 
 
 def score(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
