@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.plans import audit, corpus, corruption, framework
+from plumbline.plans import audit, corpus, corruption, framework, views
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (corpus, corruption, audit, framework)
+_MODULES = (corpus, corruption, audit, framework, views)
 
 
 def queries() -> dict[str, Query]:
