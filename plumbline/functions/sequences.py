@@ -3,22 +3,23 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from plumbline.operators.prefix import sums_before
+
 IGNORE = -100
 
 
 def chunks(df: DataFrame, order: str, tokens: str, size: int, keep_empty_tail: bool = False) -> DataFrame:
     """(chunk, tokens): all rows' tokens in order, cut every ``size``.
 
-    Offsets come from row lengths, so only lengths pass through the global order; tokens meet by chunk. With
+    Offsets come from running sums of row lengths; tokens meet by chunk. With
     ``keep_empty_tail`` a total that ``size`` divides gets one more, empty chunk.
     """
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    starts = df.select(order, F.coalesce(F.sum(F.size(tokens)).over(w), F.lit(0)).alias("first"))
-    long = df.join(starts, order).select(F.posexplode(tokens).alias("p", "t"), "first").withColumn("at", F.col("first") + F.col("p"))
+    starts = sums_before(df.select(order, tokens), [order], first=F.size(tokens))
+    long = starts.select(F.posexplode(tokens).alias("p", "t"), "first").withColumn("at", F.col("first") + F.col("p"))
     made = long.groupBy(F.floor(F.col("at") / size).cast("int").alias("chunk")).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "t"))), lambda x: x["t"]).alias("tokens"))
     if keep_empty_tail:
         total = df.agg(F.coalesce(F.sum(F.size(tokens)), F.lit(0)).alias("n")).filter(F.col("n") % size == 0)
@@ -96,10 +97,10 @@ def rouge_l(reference: pd.Series, generated: pd.Series) -> pd.DataFrame:
 
 def pick(df: DataFrame, key: str, pool: DataFrame, pool_key: str, seed: int = 0, epoch: int = 0) -> DataFrame:
     """Each row with one pool row drawn by a hash of (seed, epoch, key); the pool is numbered in order of its key."""
-    numbered = pool.withColumn("_i", F.row_number().over(Window.orderBy(pool_key)) - 1)
+    numbered = sums_before(pool, [pool_key], _i=F.lit(1))
     size = pool.agg(F.count(F.lit(1)).alias("_n"))
     h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(epoch)), F.col(key).cast("string"))), 1, 8), 16, 10).cast("bigint")
-    return df.crossJoin(F.broadcast(size)).withColumn("_i", (h % F.col("_n")).cast("int")).join(numbered, "_i").drop("_i", "_n")
+    return df.crossJoin(F.broadcast(size)).withColumn("_i", h % F.col("_n")).join(numbered, "_i").drop("_i", "_n")
 
 
 def few_shot(df: DataFrame, pool: DataFrame, order: str, text: str, k: int, delimiter: str = "\n\n") -> DataFrame:

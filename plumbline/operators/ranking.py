@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from plumbline.operators.prefix import sums_before
+
 
 def average_rank(x: str, *by: str) -> Column:
     """Rank from 1 with ties averaged."""
@@ -90,20 +92,22 @@ def loo_mean(df: DataFrame, y: str = "y", group: str | None = None) -> DataFrame
     return df.join(both, group)
 
 
-def auc(df: DataFrame, *by: str, score: str = "score", label: str = "label") -> DataFrame:
-    """Mann-Whitney ROC-AUC, label 1 being the class that scores higher."""
-    r = df.withColumn("_r", average_rank(score, *by))
-    pos, neg = F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)
-    return r.groupBy(*by).agg(((F.sum(F.when(F.col(label) == 1, F.col("_r"))) - pos * (pos + 1) / 2) / F.nullif(pos * neg, F.lit(0))).alias("auc"))
+def auc(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+    """Mann-Whitney ROC-AUC, label 1 being the class that scores higher; ranks come from counts by distinct score."""
+    points = df.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) == 0).alias("_neg"))
+    ranked = sums_before(points, [score], _before=F.col("_pos") + F.col("_neg"))
+    rank = F.col("_before") + (F.col("_pos") + F.col("_neg") + 1) / 2
+    pos, neg = F.sum("_pos"), F.sum("_neg")
+    return ranked.agg(F.try_divide(F.sum(F.col("_pos") * rank) - pos * (pos + 1) / 2, pos * neg).alias("auc"))
 
 
 def ks_statistic(df: DataFrame, x: str = "x", label: str = "label") -> DataFrame:
-    """(d, n0, n1): the largest distance of the two samples' distribution functions."""
+    """(n0, n1, d): sample sizes and the largest distance of the two distribution functions; no row if a sample is empty."""
     points = df.groupBy(x).agg(F.count_if(F.col(label) == 0).alias("a"), F.count_if(F.col(label) == 1).alias("b"))
-    w = Window.orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
-    total = df.agg(F.count_if(F.col(label) == 0).alias("n0"), F.count_if(F.col(label) == 1).alias("n1"))
-    cum = points.select(F.sum("a").over(w).alias("ca"), F.sum("b").over(w).alias("cb")).crossJoin(F.broadcast(total))
-    return cum.groupBy("n0", "n1").agg(F.max(F.abs(F.col("ca") / F.col("n0") - F.col("cb") / F.col("n1"))).alias("d"))
+    total = points.agg(F.sum("a").alias("n0"), F.sum("b").alias("n1")).filter("n0 > 0 AND n1 > 0")
+    cum = sums_before(points, [x], ca=F.col("a"), cb=F.col("b")).crossJoin(F.broadcast(total))
+    gap = (F.col("ca") + F.col("a")) / F.col("n0") - (F.col("cb") + F.col("b")) / F.col("n1")
+    return cum.groupBy("n0", "n1").agg(F.max(F.abs(gap)).alias("d"))
 
 
 def ks_p_value(d: float, n0: int, n1: int) -> float:

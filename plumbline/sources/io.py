@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import canonical_triplet, selection
+from plumbline.operators.prefix import sums_before
 
 SAMPLE = "text STRING"
 ASSIGNMENT = "text_id BIGINT, cluster_label INT, domain STRING, is_noise BOOLEAN, distance_to_centroid DOUBLE, text STRING"
@@ -79,16 +80,8 @@ def read_source(spark: SparkSession, kind: str, path: str, rename: dict[str, str
 
 
 def add_index(df: DataFrame, *order: str, name: str = "index") -> DataFrame:
-    """``df`` numbered from 0 in the given order, without passing all rows through one task.
-
-    Rows are range-partitioned and sorted; only one count per partition is summed before numbers are given.
-    """
-    from plumbline.session import cut
-
-    part = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()))
-    counts = part.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"), F.min("_m").alias("_first"))
-    starts = counts.withColumn("_s", F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).drop("_c")
-    return part.join(F.broadcast(starts), "_p").withColumn(name, F.col("_s") + F.col("_m") - F.col("_first")).drop("_p", "_m", "_s", "_first")
+    """``df`` numbered from 0 in the given order."""
+    return sums_before(df, list(order), **{name: F.lit(1)})
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
