@@ -107,3 +107,16 @@ def few_shot(df: DataFrame, pool: DataFrame, order: str, text: str, k: int, deli
     """``df`` with a ``prefix`` of the pool's first ``k`` texts."""
     first = pool.orderBy(order).limit(k).agg(F.transform(F.sort_array(F.collect_list(F.struct(order, text))), lambda x: x[text]).alias("_e"))
     return df.crossJoin(F.broadcast(first.select(F.array_join("_e", delimiter).alias("prefix"))))
+
+
+def expand_answers(df: DataFrame, answers: str) -> DataFrame:
+    """One row per answer of an item, with its number."""
+    return df.select(*(c for c in df.columns if c != answers), F.posexplode(answers).alias("answer_idx", "answer"))
+
+
+def with_alternate(question: Column, answer: Column, alternate: Column, only_alternate: bool = False) -> Column:
+    """The question with its own and an alternate answer, or with the alternate alone."""
+    other = F.struct(question.alias("question"), alternate.alias("answer"))
+    if only_alternate:
+        return F.struct(other.alias("alternate"))
+    return F.struct(F.struct(question.alias("question"), answer.alias("answer")).alias("original"), other.alias("alternate"))

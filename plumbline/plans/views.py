@@ -99,9 +99,43 @@ def chosen(spark, sf):
     return select_triplets(triplets(spark, sf), "2, triplet_005 triple_9_x").groupBy("triplet").agg(F.count(F.lit(1)).alias("n"))
 
 
+def expanded(spark, sf):
+    from plumbline.functions import sequences as S
+
+    c = table(spark, sf, "customer").select("c_custkey", F.array(F.col("c_mktsegment"), F.col("c_name")).alias("answers"))
+    return S.expand_answers(c, "answers")
+
+
+def alternates(spark, sf):
+    from plumbline.functions import sequences as S
+
+    n = table(spark, sf, "nation").select("n_nationkey", S.with_alternate(F.col("n_name"), F.lit("yes"), F.concat(F.lit("no "), F.col("n_name"))).alias("v"))
+    return n.select("n_nationkey", F.col("v.original.answer").alias("answer"), F.col("v.alternate.answer").alias("alternate"), F.col("v.alternate.question").alias("question"))
+
+
+def tails(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", F.md5(T.without_input(F.col("text"), F.substring("text", 1, 40))).alias("tail"))
+
+
+def half_norms(spark, sf):
+    from plumbline.operators.ports import half
+
+    x = table(spark, sf, "supplier").select("s_suppkey", (F.col("s_acctbal") / 10_000).alias("x"))
+    return rounded(half(x, "x").select("s_suppkey", F.col("x").cast("double").alias("x")), 4)
+
+
 KINDS = ", ".join(f"'{k}'" for k in ("q_proj", "k_proj", "v_proj", "o_proj", "gate_proj", "up_proj", "down_proj", "norm", "embed"))
 Z = ", ".join(f"round((zx.{c} - avg(zx.{c}) OVER ()) / (stddev_pop(zx.{c}) OVER () + 1e-12), 4) AS {c}" for c in audit.FEATURES[:4])
+SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 QUERIES = {
+    "multi_answer_rows": (
+        expanded,
+        "SELECT c_custkey, 0 AS answer_idx, c_mktsegment AS answer FROM customer UNION ALL SELECT c_custkey, 1, c_name FROM customer",
+    ),
+    "alternate_pairs": (alternates, "SELECT n_nationkey, 'yes' AS answer, 'no ' || n_name AS alternate, n_name AS question FROM nation"),
+    "ground_truth_tails": (tails, f"SELECT doc_id, md5(trim(replace(text, substr(text, 1, 40), ''), {SPACES})) AS tail FROM documents"),
+    "half_precision": (half_norms, None),
     "triplet_texts": (
         triplet_texts,
         f"WITH {TRIPLETS} SELECT triplet, split, sample_idx, t.text_id, md5(text) AS digest, cluster_size FROM trip t JOIN documents ON doc_id = t.text_id JOIN (SELECT cluster_label, count(*) AS cluster_size FROM asg GROUP BY 1) USING (cluster_label)",

@@ -75,7 +75,7 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 def read_source(spark: SparkSession, kind: str, path: str, rename: dict[str, str] | None = None) -> DataFrame:
     """Registry of readers by name, with columns renamed."""
-    readers = {"json": lambda: read_jsonl(spark, path), "json_array": lambda: read_json_array(spark, path), "text": lambda: spark.read.text(path).withColumnRenamed("value", "text"), "parquet": lambda: spark.read.parquet(path)}
+    readers = {"json": lambda: read_jsonl(spark, path), "json_array": lambda: read_json_array(spark, path), "text": lambda: spark.read.text(path).withColumnRenamed("value", "text"), "parquet": lambda: spark.read.parquet(path), "csv": lambda: spark.read.csv(path, header=True)}
     return readers[kind]().withColumnsRenamed(rename or {})
 
 
@@ -133,3 +133,38 @@ def merge_sections(old: DataFrame, new: DataFrame) -> DataFrame:
 def resumable(todo: DataFrame, done: DataFrame, *keys: str) -> DataFrame:
     """What is still to do."""
     return todo.join(done.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
+
+
+def read_if_exists(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The Parquet table at ``path``, or an empty one."""
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+
+
+def write_object(df: DataFrame, path: str) -> None:
+    """A one-row table as a JSON object."""
+    df.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def append_log(df: DataFrame, path: str) -> None:
+    df.write.mode("append").csv(path, header=True)
+
+
+def invalidate(spark: SparkSession, root: str, stages: list[str], again: str) -> list[str]:
+    """Remove the outputs of all stages after ``again``; returns their names."""
+    gone = []
+    for name in stages[stages.index(again) + 1 :]:
+        fs, p = _fs(spark, f"{root}/{name}")
+        if fs.exists(p):
+            fs.delete(p, True)
+            gone.append(name)
+    return gone

@@ -61,3 +61,32 @@ def test_stream_takes_new_files_once(spark, tmp_path):
     run()
     assert sorted(r["id"] for r in spark.read.parquet(sink).collect()) == list(range(8))
     assert {r["id"] for r in io.resumable(spark.range(10), spark.read.parquet(sink), "id").collect()} == {8, 9}
+
+
+def test_small_sinks_and_invalidation(spark, tmp_path):
+    root = str(tmp_path)
+    for name in ("embed", "reduce", "cluster"):
+        spark.range(1).write.parquet(f"{root}/{name}")
+    assert io.invalidate(spark, root, ["embed", "reduce", "cluster", "export"], "embed") == ["reduce", "cluster"]
+    assert io.exists(spark, f"{root}/embed") and not io.exists(spark, f"{root}/cluster")
+    assert io.read_if_exists(spark, f"{root}/cluster", "id long").count() == 0
+    io.write_object(spark.range(1).withColumn("x", F.lit(None).cast("string")), f"{root}/obj")
+    assert [r["value"] for r in spark.read.text(f"{root}/obj").collect()] == ['{"id":0,"x":null}']
+    for _ in range(2):
+        io.append_log(spark.range(2), f"{root}/log")
+    assert spark.read.csv(f"{root}/log", header=True).count() == 4
+
+
+def test_ports(spark):
+    import numpy as np
+
+    from plumbline.operators import ports
+
+    df = spark.createDataFrame([(i, f"m{i % 3}", "ab" * i) for i in range(9)], "id long, model string, text string")
+    load = lambda m: lambda pdf: pdf[["id"]].assign(score=len(m) + pdf["text"].str.len())
+    got = ports.apply_scorer(df, "model", load, "id long, score long").collect()
+    assert {r["id"]: r["score"] for r in got} == {i: 2 + 2 * i for i in range(9)}
+    e = ports.embed(df, "id", "text", lambda ts: np.array([[len(t), 1.0] for t in ts]))
+    assert all(abs(np.linalg.norm(r["embedding"]) - 1) < 1e-6 for r in e.collect())
+    t = ports.tokenize(df, "text", lambda s: [ord(c) for c in s], 3).collect()
+    assert max(len(r["ids"]) for r in t) == 3
