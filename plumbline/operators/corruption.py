@@ -28,7 +28,7 @@ def flatten_pairs(pairs: DataFrame, strict: bool = False) -> DataFrame:
     Sides are zipped by position up to the shorter one; ``strict`` skips splits whose lengths differ.
     """
     e = pairs.select("model_triplet", "eval_triplet", F.explode("base").alias("split", "b"), "unlearn")
-    e = e.withColumn("u", F.col("unlearn")[F.col("split")]).filter((F.size("b") > 0) & (F.size("u") > 0))
+    e = e.withColumn("u", F.try_element_at("unlearn", F.col("split"))).filter((F.size("b") > 0) & (F.size("u") > 0))
     if strict:
         e = e.filter(F.size("b") == F.size("u"))
     z = e.select("model_triplet", "eval_triplet", "split", F.posexplode(F.arrays_zip("b", "u")).alias("sample_idx", "z")).filter("z.b IS NOT NULL AND z.u IS NOT NULL")

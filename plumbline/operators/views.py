@@ -41,7 +41,7 @@ def complete(pair: DataFrame, sides: tuple[str, ...], splits: tuple[str, ...]) -
     """Pairs whose maps hold all splits on all sides."""
     ok = F.lit(True)
     for s in sides:
-        ok = ok & F.forall(F.array(*map(F.lit, splits)), lambda k, s=s: F.element_at(s, k).isNotNull())
+        ok = ok & F.forall(F.array(*map(F.lit, splits)), lambda k, s=s: F.try_element_at(F.col(s), k).isNotNull())
     return pair.filter(ok)
 
 

@@ -154,3 +154,13 @@ def test_quality_on_labelled_rows(spark, larger):
     assert quality.judge_column(nasty(spark), model).columns.count("n_words") == 1
     assert quality.fit(docs, labels.filter("quality = 1")) is None
     assert quality.judge(docs.limit(0), model).count() == 0
+
+
+def test_present_features_are_distinct(monkeypatch):
+    texts = ["ababab abab", "", None, "x" * 40 + "ab" * 30]
+    table = toxicity._all_slots()
+    want = {i: {s + 1 for s in slow_slots(t or "", toxicity.ORDERS, toxicity.BITS)} for i, t in enumerate(texts)}
+    for block in (16, 1 << 20):
+        monkeypatch.setattr(ngrams, "BLOCK", block)
+        who, f = toxicity.present(texts, table)
+        assert sorted(zip(who.tolist(), f.tolist(), strict=True)) == sorted((i, s) for i, own in want.items() for s in own)

@@ -90,3 +90,11 @@ def test_ports(spark):
     assert all(abs(np.linalg.norm(r["embedding"]) - 1) < 1e-6 for r in e.collect())
     t = ports.tokenize(df, "text", lambda s: [ord(c) for c in s], 3).collect()
     assert max(len(r["ids"]) for r in t) == 3
+
+
+def test_old_split_names(spark, tmp_path):
+    a = [{"loss": 1.0, "ppl": 2.0, "n_tokens": 3}]
+    row = {"model_triplet": "m", "eval_triplet": "e", "model_dir": "d", "base": {"forget": a, "retain": a}, "unlearn": {"train": a, "test": a}}
+    (tmp_path / "p.json").write_text(json.dumps(row))
+    r = io.read_pairs(spark, str(tmp_path / "p.json")).first()
+    assert set(r["base"]) == {"train", "validation"} and set(r["unlearn"]) == {"train", "test"}

@@ -139,3 +139,37 @@ def test_planted_topics_order_the_layers(spark):
     lt = corruption.long_table(scoring.round_scores(scoring.score_pairs(t, texts)))
     geo = {r["layer"]: r["geo"] for r in corruption.headline(lt).collect()}
     assert geo["L1"] > 1 and geo["L2"] > geo["L3"]
+
+
+def test_completeness_and_warmup(spark):
+    from plumbline.operators import views
+
+    rows = [("a", {"train": 1.0, "test": 2.0}, {"train": 1.0, "test": 2.0}), ("b", {"train": 1.0, "test": 2.0}, {"train": 1.0})]
+    df = table(spark, rows, "k string, base map<string,double>, unlearn map<string,double>")
+    assert [r["k"] for r in views.complete(df, ("base", "unlearn"), ("train", "test")).collect()] == ["a"]
+    assert views.warmup_steps(400, 4, 2, 2, 10, 1) == (250, 25)
+    assert views.warmup_steps(3, 8, 4, 1, 5, 1.0) == (5, 1)
+
+
+def test_running_sums_brute_force(spark):
+    from plumbline.operators.prefix import sums_before
+
+    rows = [(i * 37 % 101, i) for i in range(101)]
+    df = table(spark, rows, "k int, v int").repartition(5)
+    got = {r["k"]: (r["s"], r["n"]) for r in sums_before(df, ["k"], s=F.col("v"), n=F.lit(1)).collect()}
+    total = 0
+    for n, (k, v) in enumerate(sorted(rows)):
+        assert got[k] == (total, n)
+        total += v
+
+
+def test_objectives_on_known_values(spark):
+    from plumbline.operators import objectives
+
+    d = table(spark, [([0.0, 0.0], [0.0, 0.0], 0, 0)], "logits array<double>, teacher array<double>, label int, pos int")
+    assert objectives.undial(d, 0.0).first()[0] == pytest.approx(math.log(2))
+    assert objectives.ceu(d).first()[0] == pytest.approx(math.log(2))
+    assert objectives.pdu(table(spark, [([3.0, 0.0, 0.0],)], "logits array<double>")).first()[0] == pytest.approx(4.0)
+    s = table(spark, [(1, 2.0, 2.0, 4)], "idx int, nll double, ref_nll double, n int")
+    assert objectives.npo(s, 0.5).first()[0] == pytest.approx(4 * math.log(2))
+    assert objectives.dual_step(0.5, 1.0, 2.0, 1.0) == 0.0
