@@ -39,9 +39,14 @@ def member_filter(df: DataFrame, wanted: DataFrame, key: str) -> tuple[DataFrame
 
 def complete(pair: DataFrame, sides: tuple[str, ...], splits: tuple[str, ...]) -> DataFrame:
     """Pairs whose maps hold all splits on all sides."""
+    keys = F.array(*map(F.lit, splits))
+
+    def has_all(side: str) -> Column:
+        return F.forall(keys, lambda k: F.try_element_at(F.col(side), k).isNotNull())
+
     ok = F.lit(True)
-    for s in sides:
-        ok = ok & F.forall(F.array(*map(F.lit, splits)), lambda k, s=s: F.try_element_at(F.col(s), k).isNotNull())
+    for side in sides:
+        ok = ok & has_all(side)
     return pair.filter(ok)
 
 
