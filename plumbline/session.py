@@ -51,6 +51,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, what: str = "table") -> DataFrame:
+    """``df`` as a written table of the shared folder; unlike a checkpoint, it forgets how rows were partitioned.
+
+    A join that reads it shuffles it by itself, so that adaptive execution can split hot keys.
+    """
+    path = fresh_path(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
