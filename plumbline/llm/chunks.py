@@ -7,19 +7,28 @@ from it. Memory is bounded by BLOCK_CHARS of text, CACHE_CHARS of chunks, and th
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
+import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 BLOCK_CHARS = 1 << 20
-CACHE_CHARS = 12 << 20
+CACHE_CHARS = 6 << 20
 WS = r" \t\n\r\f\v"
 #: Words without the white space around them, for tokenizers that drop it.
 WORDS = re.compile(rf"[^{WS}]+")
+#: Letters and digits in every version of Unicode that stay such in lower case.
+ALNUM = re.compile("[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]")
+MARKS = ".,;:!?"
+#: What Arrow takes for ASCII white space, and tokenizers don't.
+SEPARATORS = re.compile("[\x1c-\x1f]")
 #: Words with the one space before them, and runs of white space short of that.
 SPACED = re.compile(rf" ?[^{WS}]+|[{WS}]+(?![^{WS}])|[{WS}]+")
 #: White space beyond ASCII, or nearly: runs that mix it with the above are not cut.
@@ -27,6 +36,16 @@ ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏ -  　﻿]")
 _CUT = re.compile(rf"[^{WS}] (?=[^{WS}])")
 
 
+def lowered(text: str) -> str:
+    """The text in lower case, where a tokenizer that normalises to NFC and lower case can't tell the difference; else the text."""
+    if text.isascii():
+        return text if "<|" in text else text.lower()
+    if "<|" in text or "\u03a3" in text or "\u0130" in text or not unicodedata.is_normalized("NFC", text):
+        return text
+    low = text.lower()
+    return low if unicodedata.is_normalized("NFC", low) else text
+
+
 def slices(text: str, size: int = BLOCK_CHARS) -> Iterator[str]:
     """The text in parts of about ``size`` characters, cut before a lone space between two words."""
     at = 0
@@ -75,27 +94,66 @@ def encode_chunks(tok, chunks: list[str], offsets: bool) -> Encoded:
 
 
 class ChunkEncoder:
-    """``encode`` maps chunks as ``encode_chunks`` does; ids and, if it gives any, first characters are kept by chunk."""
+    """``encode`` maps chunks as ``encode_chunks`` does; ids and, if it gives any, first characters are kept by chunk.
+
+    ``pattern`` cuts a text into chunks, unless ``whole`` finds something in it. With ``words``, chunks are what ASCII white space
+    parts, and closing marks after a letter or digit are encoded apart from their word.
+    """
 
-    def __init__(self, encode, pattern: re.Pattern[str], whole: re.Pattern[str] | None = None) -> None:
-        self.encode, self.pattern, self.whole = encode, pattern, whole
+    def __init__(self, encode, pattern: re.Pattern[str], whole: re.Pattern[str] | None = None, words: bool = False) -> None:
+        self.encode, self.pattern, self.whole, self.words = encode, pattern, whole, words
         self._clear()
 
     def _clear(self) -> None:
         self.number: dict[str, int] = {}
         self.ids, self.starts, self.chars = Ragged(), Ragged(), 0
+        self.uses = np.zeros(1 << 14, np.int32)
+
+    def _learn(self, new: list[str]) -> None:
+        ids, n, starts = self.encode(new)
+        self.ids.add(ids, n)
+        self.starts.add(starts, n if len(starts) else n[:0])
+        self._name(new)
+
+    def _name(self, new: list[str]) -> None:
+        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+        self.chars += sum(map(len, new))
+
+    def _shrink(self) -> None:
+        """Keep only chunks that came up in several blocks."""
+        words = [*self.number]
+        again = np.flatnonzero(self.uses[: len(words)] > 1)
+        ids, starts = self.ids, self.starts
+        self._clear()
+        if len(again) < len(words) // 2:
+            flat, n = ids.gather(again)
+            self.ids.add(flat, n)
+            if starts.n:
+                self.starts.add(*starts.gather(again))
+            self._name([words[i] for i in again])
 
     def _numbers(self, chunks: list[str]) -> np.ndarray:
         if self.chars > CACHE_CHARS:
-            self._clear()
-        new = [w for w in set(chunks) if w not in self.number]
-        if new:
-            ids, n, starts = self.encode(new)
-            self.ids.add(ids, n)
-            self.starts.add(starts, n if len(starts) else n[:0])
-            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
-            self.chars += sum(map(len, new))
-        return np.fromiter(map(self.number.__getitem__, chunks), np.int64, len(chunks))
+            self._shrink()
+        known = self.number
+        out = np.fromiter(map(known.get, chunks, itertools.repeat(-1)), np.int64, len(chunks))
+        missing = np.flatnonzero(out < 0)
+        if len(missing):
+            new = [*dict.fromkeys(chunks[i] for i in missing)]
+            joint = [(w, h) for w in new if w[-1:] in MARKS and (h := w.rstrip(MARKS)) and ALNUM.match(h[-1])] if self.words else []
+            pairs = [x for w, h in joint for x in (h, w[len(h) :])]
+            single = {*new}.difference(w for w, _ in joint).union(pairs) if joint else new
+            if fresh := [w for w in single if w not in known]:
+                self._learn(fresh)
+            if joint:
+                ids, n = self.ids.gather(np.fromiter(map(known.__getitem__, pairs), np.int64, len(pairs)))
+                self.ids.add(ids, n.reshape(-1, 2).sum(1))
+                self._name([w for w, _ in joint])
+            out[missing] = [known[chunks[i]] for i in missing]
+        while len(known) > len(self.uses):
+            self.uses = np.concatenate([self.uses, np.zeros_like(self.uses)])
+        self.uses[out] += 1
+        return out
 
     def _parts(self, text: str) -> Iterator[list[str]]:
         if self.whole is not None and self.whole.search(text):
@@ -104,33 +162,44 @@ class ChunkEncoder:
         for s in slices(text):
             yield self.pattern.findall(s)
 
+    def _alone(self, text: str) -> np.ndarray:
+        out = []
+        for p in self._parts(text):
+            runs = self._numbers(p)  # may rebuild the cache, so it comes first
+            out.append(self.ids.gather(runs)[0])
+        return np.concatenate(out)
+
     def documents(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text; a null one has none."""
-        chunks: list[str] = []
-        ends: list[int] = []
+        held: list[str] = []
         chars = 0
         for t in texts:
-            t = t or ""
-            if len(t) > BLOCK_CHARS:
-                yield from self._flush(chunks, ends)
-                chunks, ends, chars = [], [], 0
-                yield np.concatenate([self.ids.gather(self._numbers(p))[0] for p in self._parts(t)])
-                continue
-            for p in self._parts(t):
-                chunks += p
-            ends.append(len(chunks))
-            chars += len(t)
-            if chars > BLOCK_CHARS:
-                yield from self._flush(chunks, ends)
-                chunks, ends, chars = [], [], 0
-        yield from self._flush(chunks, ends)
-
-    def _flush(self, chunks: list[str], ends: list[int]) -> Iterator[np.ndarray]:
-        if not ends:
+            t = lowered(t or "") if self.words else t or ""
+            alone = len(t) > BLOCK_CHARS or (self.words and SEPARATORS.search(t) is not None)
+            if alone or chars > 4 * BLOCK_CHARS:
+                yield from self._together(held)
+                held, chars = [], 0
+            if alone:
+                yield self._alone(t)
+            else:
+                held.append(t)
+                chars += len(t)
+        yield from self._together(held)
+
+    def _together(self, texts: list[str]) -> Iterator[np.ndarray]:
+        if not texts:
             return
-        ids, n = self.ids.gather(self._numbers(chunks))
-        at = np.concatenate([[0], np.cumsum(n)])[ends]
-        yield from np.split(ids, at[:-1])
+        if self.words:
+            split = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+            coded = split.values.dictionary_encode()
+            runs = self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+            ends = split.offsets.to_numpy()[1:]
+        else:
+            parts = [[c for p in self._parts(t) for c in p] for t in texts]
+            runs = self._numbers([*itertools.chain(*parts)])
+            ends = np.cumsum([*map(len, parts)])
+        ids, n = self.ids.gather(runs)
+        yield from np.split(ids, np.append(0, np.cumsum(n))[ends[:-1]])
 
     def spans(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """ids of a text and the character each begins in (``pattern`` must cover all characters)."""

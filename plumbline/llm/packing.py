@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import zlib
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,6 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from plumbline.llm.batches import sliced
 from plumbline.llm.chunks import WORDS, ChunkEncoder, encode_chunks
 
 #: (document, start in it, length, sequence, offset there)
@@ -34,7 +36,7 @@ def encoder(path: str) -> ChunkEncoder:
 
     tok = Tokenizer.from_file(path)
 
-    return ChunkEncoder(lambda chunks: encode_chunks(tok, chunks, offsets=False), WORDS)
+    return ChunkEncoder(lambda chunks: encode_chunks(tok, chunks, offsets=False), WORDS, words=True)
 
 
 def pack(lengths: list[int], capacity: int = 4096, linear: float = 1.0, quadratic: float = 1 / 4096) -> list[Piece]:
@@ -100,14 +102,21 @@ def pack_documents(
             return pa.RecordBatch.from_arrays([doc, *(pa.array(c, pa.int64()) for c in cols)], names)
 
         id_type = None
-        for b in batches:
-            id_type = b.schema.field(0).type
-            for key, x in zip(b.column(0).to_pylist(), enc.documents(b.column(1).to_pylist()), strict=True):
-                ids.append(np.append(x, np.uint32(end_id)).astype("<u4"))
-                keys.append(key)
-                held += len(x) + 1
-                if held >= group_tokens:
-                    yield flush()
+        waiting: deque = deque()
+
+        def texts() -> Iterator[str | None]:
+            nonlocal id_type
+            for b in sliced(batches):
+                id_type = b.schema.field(0).type
+                waiting.extend(b.column(0).to_pylist())
+                yield from b.column(1).to_pylist()
+
+        for x in enc.documents(texts()):
+            ids.append(np.append(x, np.uint32(end_id)).astype("<u4"))
+            keys.append(waiting.popleft())
+            held += len(x) + 1
+            if held >= group_tokens:
+                yield flush()
         if ids:
             yield flush()
 

@@ -124,3 +124,16 @@ def test_repeated_documents_are_packed_apart(spark):
     df = spark.createDataFrame([(1, "same"), (1, "same")], "doc_id long, text string").coalesce(1)
     rows = packing.pack_documents(df, P.path("word_bpe_49k.json")).collect()
     assert sum(r["length"] for r in rows) == 4
+
+
+def test_full_cache_keeps_results(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from plumbline.llm import chunks
+
+    tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    texts = [" ".join(random.choice("abcdefgh") * random.randint(1, 4) + random.choice([".", ",", ""]) for _ in range(50)) for _ in range(200)]
+    monkeypatch.setattr(chunks, "CACHE_CHARS", 150)
+    monkeypatch.setattr(chunks, "BLOCK_CHARS", 200)
+    enc = chunks.ChunkEncoder(lambda c: chunks.encode_chunks(tok, c, offsets=False), chunks.WORDS, words=True)
+    assert [x.tolist() for x in enc.documents(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
