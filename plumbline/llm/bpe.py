@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
+from plumbline.llm.batches import sliced
 from plumbline.llm.chunks import ODD_SPACE, SPACED, ChunkEncoder, Encoded, encode_chunks
 
 
@@ -84,7 +85,7 @@ def encode_column(df: DataFrame, path: str, pattern: str, text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, pattern)
-        for b in batches:
+        for b in sliced(batches):
             texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
             ids = pa.array([x.astype(np.int32) for x in enc.documents(texts)], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in names), ids], [*names, out])
@@ -106,16 +107,22 @@ def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, pattern)
         table = _model(path, pattern)[2]
-        for b in batches:
-            n, ids_sha, text_sha = [], [], []
-            for ids in enc.documents(b.column(1).to_pylist()):
-                n.append(len(ids))
-                ids_sha.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-                text_sha.append(hashlib.sha256(decode_bytes(ids.tolist(), table)).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
-                [id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+        waiting: list[pa.RecordBatch] = []
+
+        def texts() -> Iterator[str | None]:
+            for b in sliced(batches):
+                waiting.append(b)
+                yield from b.column(1).to_pylist()
+
+        n, ids_sha, text_sha = [], [], []
+        for ids in enc.documents(texts()):
+            n.append(len(ids))
+            ids_sha.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
+            text_sha.append(hashlib.sha256(decode_bytes(ids.tolist(), table)).hexdigest())
+            if len(n) == waiting[0].num_rows:
+                cols = [waiting.pop(0).column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+                yield pa.RecordBatch.from_arrays(cols, [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+                n, ids_sha, text_sha = [], [], []
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
