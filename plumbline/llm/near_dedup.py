@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from plumbline.session import cut
+from plumbline.llm.batches import sliced
+from plumbline.session import cut, stored
 
 SHINGLE = 5
 BLOCK = 256
@@ -53,7 +54,7 @@ def labelled(words: list[str]) -> np.ndarray:
     """The text's shingles in order, as 64-bit labels that tell repeats apart; all are distinct."""
     if not words:
         return np.empty(0, np.uint64)
-    if len(_words) > 400_000:
+    if len(_words) > 200_000:
         _words.clear()
     for w in set(words):
         if w not in _words:
@@ -144,7 +145,7 @@ def _shingles_cache():
 
 def _sketches(df: DataFrame, id_col: str, text_col: str, bands: int, rows: int, carry: tuple[str, ...]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             node, keys = [], []
             for t in b.column(1).to_pylist():
                 w = words_of(t)
@@ -228,7 +229,7 @@ def _texts(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Data
     found = source.join(wanted, F.col("_id").eqNullSafe(F.col("rep_id"))).select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:  # ids may repeat, and then with other texts
+        for b in sliced(batches):  # ids may repeat, and then with other texts
             ok = [digest_of(words_of(t)) == n for n, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
             yield b.filter(pa.array(ok, pa.bool_()))
 
@@ -238,7 +239,7 @@ def _texts(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Data
 def _align(pairs: DataFrame, similarity: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = _shingles_cache()
-        for b in batches:
+        for b in sliced(batches):
             cols = [c.to_pylist() for c in b.columns]
             ok = [aligned_similarity(get(u, lt), labelled(words_of(t)), similarity) >= similarity for u, v, t, lt in zip(*cols, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], ["leader", "node", "linked"])
@@ -250,12 +251,14 @@ def _beyond_leaders(star: DataFrame, comp: DataFrame, texts: DataFrame, similari
     """Links (u, v) between components that share a leader, not through it."""
     placed = star.join(comp, "node", "left").select("leader", "node", F.coalesce("comp", "node").alias("comp"))
     head = comp.select(F.col("node").alias("leader"), F.col("comp").alias("head"))
-    placed = placed.join(head, "leader", "left").withColumn("head", F.coalesce("head", "leader")).withColumn("stray", F.col("comp") != F.col("head"))
-    split = (
+    # Stored here, joins on a hot leader can be split over tasks, and its followers are counted in each task before they meet.
+    placed = stored(placed.join(head, "leader", "left").withColumn("stray", F.col("comp") != F.coalesce("head", "leader")).drop("head"), "near-placed")
+    split = stored(
         placed.groupBy("leader")
         .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("stray").cast("bigint")).alias("strays"))
         .filter("strays > 0 and n > 1")
-        .select("leader", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"), F.ceil(F.col("strays") / BLOCK).cast("int").alias("ns"))
+        .select("leader", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"), F.ceil(F.col("strays") / BLOCK).cast("int").alias("ns")),
+        "near-split",
     )
     part = cut(placed.join(split, "leader").withColumn("h", F.xxhash64("node")))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
