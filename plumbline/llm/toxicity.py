@@ -12,6 +12,7 @@ id, the text counts as toxic if one of them says so; extra columns are dropped b
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from plumbline.llm.batches import sliced
 from plumbline.llm.ngrams import slots
 from plumbline.session import cut
 
@@ -43,14 +45,23 @@ class Model:
 
 
 def present(texts: list[str | None], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text number, feature number) pairs of the features that ``table`` numbers from 1."""
-    found = []
-    width = np.int64(table.max() + 1) if len(table) else np.int64(1)
-    for slot, who, first in slots(texts, ORDERS, BITS):
-        at = np.flatnonzero(table[slot])
-        owner = who[np.searchsorted(first, at, "right") - 1]
-        found.append(np.unique(owner * width + table[slot[at]]))
-    pairs = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+    """Distinct (text number, feature number) pairs of the features that ``table`` numbers from 1, in order of the texts."""
+    width = np.int64(table.max() + 1)
+    place = np.empty(width, np.int64)
+    keys, last, again = [np.empty(0, np.int64)], -1, False
+    for block in itertools.batched(slots(texts, ORDERS, BITS), len(ORDERS), strict=True):
+        hits = [table[slot] for slot, _, _ in block]
+        who, first = block[0][1], block[0][2]
+        for w, a, b in zip(who, first, np.append(first[1:], len(hits[0])), strict=True):
+            again, last = again or w == last, w
+            f = np.concatenate([h[a:b] for h in hits])
+            f = f[f > 0]
+            at = np.arange(len(f))
+            place[f] = at  # of repeats, the last one stays
+            keys.append(w * width + f[place[f] == at])
+    pairs = np.concatenate(keys)
+    if again:  # a text had several segments
+        pairs = np.unique(pairs)
     return pairs // width, pairs % width
 
 
@@ -93,7 +104,7 @@ def fit(
         n = np.zeros((2, (1 << BITS) + 2), np.int64)
         texts_seen = np.zeros(2, np.int64)
         table = _all_slots()
-        for b in batches:
+        for b in sliced(batches):
             y = np.array(b.column(1).to_pylist(), np.int64)
             who, f = present(b.column(0).to_pylist(), table)
             for c in (0, 1):
@@ -121,7 +132,7 @@ def fit(
     table = Model(slot, r, 0.0).table()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             who, f = present(b.column(0).to_pylist(), table)
             runs = np.split(f.astype(np.int32), np.searchsorted(who, np.arange(1, b.num_rows)))
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(runs, pa.list_(pa.int32()))], ["y", "f"])
@@ -168,7 +179,7 @@ def score_column(df: DataFrame, model: Model | None, text_col: str = "text", out
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*shared.value)
         table = m.table()
-        for b in batches:
+        for b in sliced(batches):
             s = score_texts(b.column(b.schema.get_field_index(text_col)).to_pylist(), m, table)
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in names), pa.array(s)], [*names, out])
 
