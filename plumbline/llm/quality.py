@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
+from plumbline.llm.batches import sliced
 from plumbline.session import cut
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -124,39 +125,43 @@ def train(texts: list[tuple[np.ndarray, int]], steps: int = 150, l2: float = 1e-
     Long texts give several training sequences of ``most_lines`` lines; classes weigh the same.
     """
     seqs = [(x[a : a + most_lines], y) for x, y in texts for a in range(0, len(x), most_lines)]
-    top = max(len(x) for x, _ in seqs)
-    x = np.zeros((len(seqs), top, N_FEATURES))
-    on = np.zeros((len(seqs), top))
-    y = np.array([c for _, c in seqs])
+    seqs.sort(key=lambda s: -len(s[0]))  # the first ``live[t]`` sequences have a line t
+    length = np.array([len(x) for x, _ in seqs])
+    top, n = int(length.max()), len(seqs)
+    x = np.zeros((n, top, N_FEATURES))
     for i, (rows, _) in enumerate(seqs):
-        x[i, : len(rows)], on[i, : len(rows)] = rows, 1
-    lines = on.sum(1)
-    weight = np.where(y == 1, 0.5 / max(1, lines[y == 1].sum()), 0.5 / max(1, lines[y == 0].sum()))
+        x[i, : len(rows)] = rows
+    live = [int((length > t).sum()) for t in range(top + 1)]
+    on = np.arange(top) < length[:, None]
+    y = np.array([c for _, c in seqs])
+    weight = np.where(y == 1, 0.5 / max(1, length[y == 1].sum()), 0.5 / max(1, length[y == 0].sum()))
     gold = np.eye(2)[y]
     theta = np.zeros(N_FEATURES * 2 + 6)
     mom, var = np.zeros_like(theta), np.zeros_like(theta)
-    lse = np.logaddexp.reduce
     for step in range(1, steps + 1):
         emit, move, first = theta[: N_FEATURES * 2].reshape(N_FEATURES, 2), theta[-6:-2].reshape(2, 2), theta[-2:]
-        e = x @ emit
-        alpha, beta = np.zeros((top, len(seqs), 2)), np.zeros((top, len(seqs), 2))
-        alpha[0] = e[:, 0] + first
+        e = (x @ emit).transpose(1, 0, 2)
+        alpha, beta = np.zeros((top, n, 2)), np.zeros((top, n, 2))
+        alpha[0] = e[0] + first
         for t in range(1, top):
-            new = lse(alpha[t - 1][:, :, None] + move, axis=1) + e[:, t]
-            alpha[t] = np.where(on[:, t, None] > 0, new, alpha[t - 1])
+            k = live[t]
+            from_0, from_1 = (alpha[t - 1, :k, s, None] + move[s] for s in (0, 1))
+            alpha[t, :k] = np.logaddexp(from_0, from_1) + e[t, :k]
         for t in range(top - 2, -1, -1):
-            new = lse(move + (e[:, t + 1] + beta[t + 1])[:, None, :], axis=2)
-            beta[t] = np.where(on[:, t + 1, None] > 0, new, 0.0)
-        z = lse(alpha[-1], axis=1)
-        p = np.exp(alpha + beta - z[None, :, None])  # padded positions are masked below
-        diff = (p.transpose(1, 0, 2) - gold[:, None, :]) * (on * weight[:, None])[:, :, None]
-        g_emit = np.einsum("stf,stc->fc", x, diff)
+            k = live[t + 1]
+            to = e[t + 1, :k] + beta[t + 1, :k]
+            beta[t, :k] = np.logaddexp(to[:, :1] + move[:, 0], to[:, 1:] + move[:, 1])
+        end = alpha[length - 1, np.arange(n)]
+        z = np.logaddexp(end[:, 0], end[:, 1])
+        p = np.exp(np.where(on.T[:, :, None], alpha + beta - z[None, :, None], -np.inf))
+        diff = np.where(on.T[:, :, None], p - gold, 0.0) * weight[None, :, None]
+        g_emit = np.einsum("stf,tsc->fc", x, diff, optimize=True)
         g_move = np.zeros((2, 2))
         for t in range(1, top):
-            pair = np.exp(alpha[t - 1][:, :, None] + move + (e[:, t] + beta[t])[:, None, :] - z[:, None, None])
-            pair -= gold[:, :, None] * gold[:, None, :]
-            g_move += (pair * (on[:, t] * weight)[:, None, None]).sum(0)
-        g = np.concatenate([g_emit.ravel(), g_move.ravel(), diff[:, 0].sum(0)]) + l2 * theta
+            k = live[t]
+            pair = np.exp(alpha[t - 1, :k, :, None] + move + (e[t, :k] + beta[t, :k])[:, None, :] - z[:k, None, None])
+            g_move += np.einsum("sab,s->ab", pair - gold[:k, :, None] * gold[:k, None, :], weight[:k])
+        g = np.concatenate([g_emit.ravel(), g_move.ravel(), diff[0].sum(0)]) + l2 * theta
         mom, var = 0.9 * mom + 0.1 * g, 0.999 * var + 0.001 * g * g
         theta = theta - 0.1 * (mom / (1 - 0.9**step)) / (np.sqrt(var / (1 - 0.999**step)) + 1e-8)
     return Crf(theta[: N_FEATURES * 2].reshape(N_FEATURES, 2), theta[-6:-2].reshape(2, 2), theta[-2:])
@@ -172,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 2000, id_col: str =
     sample = cut(source.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("text", F.col("q").cast("int").alias("q")))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             x = [line_features(measure(t)[1]).astype(np.float32).ravel() for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(x, pa.list_(pa.float32()))], ["q", "x"])
 
@@ -194,7 +199,7 @@ def judge_column(df: DataFrame, model: Crf | None, text_col: str = "text", min_w
     names = own_columns.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             counts, failed, share = [], [], []
             for t in b.column(b.schema.get_field_index(text_col)).to_pylist():
                 n, lines = measure(t)
