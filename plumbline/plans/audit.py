@@ -10,7 +10,7 @@ from plumbline.operators import corruption as C
 from plumbline.operators import ranking as R
 from plumbline.operators import vectors as V
 from plumbline.plans.common import LONG, TRIPLETS, cos_sql, long_table, rounded, triplet_vectors, vectors
-from plumbline.session import table
+from plumbline.session import cut, table
 
 FEATURES = [
     "emb_variance_mean", "emb_variance_max", "isotropy", "centroid_norm", "emb_norm_mean", "emb_norm_std",
@@ -59,9 +59,9 @@ dr AS (SELECT b, slot, y, p FROM (SELECT b, slot, ('0x' || md5('0:' || b || ':'
 
 
 def model_table(spark, sf):
-    """Geometry of the forget sets joined to their damage."""
+    """Geometry of the forget sets joined to their damage; cut, as scaling, folds and fits all read it."""
     prof = C.profile(long_table(spark, sf)).select("forget_cluster", "geo_L1")
-    return geometry(spark, sf).join(prof, "forget_cluster")
+    return cut(geometry(spark, sf).join(prof, "forget_cluster"))
 
 
 def scored(fit, spark, sf):
