@@ -155,7 +155,7 @@ def draws(df: DataFrame, key: str, n_boot: int, seed: int = 0) -> DataFrame:
     n = df.count()
     grid = df.sparkSession.range(n_boot * n).select((F.col("id") / n).cast("int").alias("b"), (F.col("id") % n).cast("int").alias("slot"))
     pick = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "b", "slot")), 1, 8), 16, 10).cast("bigint") % n
-    return grid.withColumn("_i", pick.cast("int")).join(F.broadcast(numbered), "_i").drop("_i")
+    return grid.withColumn("_i", pick.cast("int")).join(numbered, "_i").drop("_i")
 
 
 def bootstrap_rho(df: DataFrame, key: str = "key", n_boot: int = 200, seed: int = 0) -> DataFrame:
