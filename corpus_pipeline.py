@@ -14,12 +14,22 @@ from plumbline.llm import exact_dedup, near_dedup, packing, quality, toxicity
 from plumbline.session import fresh_path, table
 
 
+#: Rows of an Arrow batch: stages follow one another in the same executors, so each holds little.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.judge_column(docs, model).filter("kept").select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), F.lit(True))
     return toxicity.score_column(docs, model).filter("score < 0.5").select(*docs.columns)
 
@@ -29,12 +39,14 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     marked = docs.withColumn("_h", F.md5(F.coalesce("text", F.lit(""))))  # ids may repeat with other texts
     kept = near_dedup.classes(marked, carry=("_h",)).filter("kept").select(F.col("doc_id").alias("_id"), F.col("_h").alias("_kept"))
     return marked.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_kept")), "left_semi").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

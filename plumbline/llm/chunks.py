@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 BLOCK_CHARS = 1 << 20
-CACHE_CHARS = 6 << 20
+CACHE_CHARS = 4 << 20
 WS = r" \t\n\r\f\v"
 #: Words without the white space around them, for tokenizers that drop it.
 WORDS = re.compile(rf"[^{WS}]+")
