@@ -114,6 +114,30 @@ def test_hdbscan_finds_planted_blobs():
     assert (clustering.hdbscan_labels(rng.uniform(size=(5, 2)), 10, 5) == -1).all()
 
 
+def same_groups(a, b):
+    return len(set(zip(a, b, strict=True))) == len(set(a)) == len(set(b)) and all((x == -1) == (y == -1) for x, y in zip(a, b, strict=True))
+
+
+def test_hdbscan_in_blocks_is_hdbscan_in_one(spark):
+    rng = np.random.default_rng(3)
+    x = np.r_[rng.normal(0, 0.5, (90, 3)), rng.normal(4, 0.5, (90, 3)), rng.normal((0, 6, 0), 1, (90, 3)), rng.uniform(-20, 20, (30, 3))]
+    df = table(spark, [(i, r.tolist()) for i, r in enumerate(x)], "id int, v array<double>")
+    want = clustering.hdbscan_labels(x, 10, 5)
+    assert len(set(want)) >= 4
+    for rows in (40, 4096):
+        got = {r["id"]: r["cluster_label"] for r in clustering.hdbscan(df, "id", "v", 10, 5, block_rows=rows).collect()}
+        assert same_groups([got[i] for i in range(len(x))], want.tolist())
+
+
+def test_hdbscan_has_no_row_cap(spark):
+    at = F.struct(*((F.pmod(F.xxhash64(F.col("id"), F.lit(s)), F.lit(1000003)) / 1000003).alias(s) for s in "ab"))
+    df = spark.range(20_500).select("id", at.alias("u")).select("id", F.array(F.col("u.a") + F.col("id") % 3 * 10, F.col("u.b")).alias("v"))
+    got = clustering.hdbscan(df, "id", "v", 2000, 5)
+    found = got.groupBy(F.col("id") % 3).agg(F.count(F.lit(1)), F.min("cluster_label"), F.max("cluster_label"), F.avg((F.col("cluster_label") >= 0).cast("int"))).collect()
+    assert sum(r[1] for r in found) == 20_500 and len({r[3] for r in found}) == 3
+    assert all(r[4] > 0.9 for r in found)
+
+
 def test_pca_against_numpy(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(50, 4)) * [3, 2, 1, 0.1]
