@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.scoring import log_ratio
+from plumbline.session import cut
 
 
 def layer(model: Column, evaluated: Column, split: Column) -> Column:
@@ -69,9 +70,10 @@ def pair_means(df: DataFrame) -> DataFrame:
     return df.filter("split = 'test'").groupBy("model_triplet", "eval_triplet").agg(F.avg("log_ppl_ratio").alias("pair_mean"))
 
 
-def pair_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Models by evaluated sets, as one row per model."""
-    return pair_means(df).groupBy("model_triplet").pivot("eval_triplet", columns).agg(F.first("pair_mean"))
+def pair_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Models by evaluated sets, as one row per model; all sets of the table, in order of their names, unless some are named."""
+    means = pair_means(df) if columns else cut(pair_means(df))
+    return means.groupBy("model_triplet").pivot("eval_triplet", columns).agg(F.first("pair_mean"))
 
 
 def self_vs_cross(df: DataFrame) -> DataFrame:

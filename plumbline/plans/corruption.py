@@ -45,6 +45,7 @@ def nested_pairs(spark, sf):
 
 
 def pair_matrix(spark, sf):
+    """The corner that the SQL names; pair_matrix_full has all models and sets."""
     names = ["triplet_001", "triplet_002", "triplet_003", "triplet_004"]
     m = C.pair_matrix(long_table(spark, sf).filter(F.col("eval_triplet").isin(names) & F.col("model_triplet").isin(names)), names)
     return rounded(m)
@@ -81,6 +82,7 @@ QUERIES = {
         with_long("SELECT model_triplet, " + ", ".join(f"round(avg(log_ppl_ratio) FILTER (eval_triplet = 'triplet_00{i}'), 6) AS triplet_00{i}" for i in range(1, 5)) + """
             FROM long WHERE split = 'test' AND model_triplet IN ('triplet_001', 'triplet_002', 'triplet_003', 'triplet_004') GROUP BY 1"""),
     ),
+    "pair_matrix_full": (on_long(C.pair_matrix), None),
     "self_vs_cross": (
         on_long(C.self_vs_cross),
         with_long(""", pm AS (SELECT model_triplet = eval_triplet AS own, avg(log_ppl_ratio) AS m FROM long WHERE split = 'test' GROUP BY model_triplet, eval_triplet),

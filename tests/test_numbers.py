@@ -105,6 +105,14 @@ def test_leave_one_out_excludes_the_row(spark):
     assert got == {i: pytest.approx((15 - i) / 5) for i in range(6)}
 
 
+def test_pair_matrix_has_every_model_and_set(spark):
+    names = [f"triplet_{i:03d}" for i in range(1, 8)]
+    df = table(spark, [(m, e, "test", float(i * 10 + j)) for i, m in enumerate(names) for j, e in enumerate(names)], "model_triplet string, eval_triplet string, split string, log_ppl_ratio double")
+    got = corruption.pair_matrix(df)
+    assert got.columns == ["model_triplet", *names]
+    assert sorted(tuple(r) for r in got.collect()) == [(m, *(i * 10.0 + j for j in range(7))) for i, m in enumerate(names)]
+
+
 def test_hdbscan_finds_planted_blobs():
     rng = np.random.default_rng(1)
     x = np.r_[rng.normal(0, 0.1, (40, 3)), rng.normal(5, 0.1, (40, 3)), rng.uniform(-20, 20, (10, 3))]
