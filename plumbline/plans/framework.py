@@ -161,7 +161,7 @@ def chunked(spark, sf):
 def prompts(spark, sf):
     """(item_id, prompt ids, answer ids): the first five words and the rest."""
     ids = F.transform(words(), token_id)
-    return table(spark, sf, "benchmark").select("item_id", F.slice(ids, 1, 5).alias("p"), F.slice(ids, 6, 1000).alias("a"))
+    return table(spark, sf, "benchmark").select("item_id", F.slice(ids, 1, 5).alias("p"), F.slice(ids, 6, F.greatest(F.size(ids) - 5, F.lit(0))).alias("a"))
 
 
 def masked(spark, sf):

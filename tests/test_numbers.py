@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import sequences as S
 from plumbline.operators import clustering, corruption, metrics, models, ranking, scoring, vectors
+from plumbline.plans import framework
 
 
 def table(spark, rows, schema):
@@ -113,6 +114,13 @@ def test_pair_matrix_has_every_model_and_set(spark):
     assert sorted(tuple(r) for r in got.collect()) == [(m, *(i * 10.0 + j for j in range(7))) for i, m in enumerate(names)]
 
 
+def test_answers_of_long_items_are_whole(spark, tmp_path):
+    table(spark, [(1, "a " * 1500), (2, "a b c"), (3, "")], "item_id int, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {r["item_id"]: (len(r["p"]), len(r["a"])) for r in framework.prompts(spark, tmp_path).collect()} == {1: (5, 1495), 2: (3, 0), 3: (0, 0)}
+    assert {r["item_id"]: r["n_valid"] for r in framework.masked(spark, tmp_path).collect()} == {1: 1495, 2: 0, 3: 0}
+    assert {r["n"] for r in framework.padded(spark, tmp_path).collect()} == {1495}
+
+
 def test_hdbscan_finds_planted_blobs():
     rng = np.random.default_rng(1)
     x = np.r_[rng.normal(0, 0.1, (40, 3)), rng.normal(5, 0.1, (40, 3)), rng.uniform(-20, 20, (10, 3))]
