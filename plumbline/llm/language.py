@@ -2,8 +2,9 @@
 
 Orders 1 to 3 of the lower-cased whole text are hashed; a feature's value is its share of the text's n-grams times its
 inverse document frequency. Weights come from follow-the-regularised-leader with elastic-net penalties (most stay
-exactly 0), over a sample of at most ``max_rows`` labelled texts in order of a hash of their id; one
-in five of these is held back to fit the temperature that calibrates the probabilities.
+exactly 0), over a sample of the first ``max_rows`` labelled texts in order of a hash of their id and the first ``each`` of every
+language, so that rare ones are learned too; one in five of these is held back to fit the temperature that calibrates
+the probabilities, but no language's only texts.
 
 Defined cases: ``und`` and score 0 where the text is null or has no letter, or nothing could be learned; with
 one learned language that is always the answer; ties go to the alphabetically first language; repeated rows each get a row.
@@ -17,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.batches import sliced
@@ -82,14 +83,17 @@ def ftrl(who, slot, value, y, n_langs, alpha=0.5, beta=1.0, l1=1e-3, l2=1e-3, ep
     return w[:-1], w[-1]
 
 
-def fit(docs: DataFrame, learn: Column, max_rows: int = 4000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
+def fit(docs: DataFrame, learn: Column, max_rows: int = 4000, each: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """The model of the rows with a language for which ``learn`` holds; None if there are none."""
     known = docs.filter(learn).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"))
     known = known.filter("lang IS NOT NULL AND text IS NOT NULL")
-    chosen = known.select("id", "lang").orderBy(F.xxhash64("id"), "id", "lang").limit(max_rows).select(F.col("id").alias("_id")).distinct()
-    # At most max_rows ids; rows that repeat an id count once.
+    keyed, order = known.select("id", "lang"), [F.xxhash64("id"), F.col("id")]
+    common = keyed.orderBy(*order, "lang").limit(max_rows)
+    by_lang = keyed.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("r") <= each).drop("r")
+    chosen = common.unionByName(by_lang).select(F.col("id").alias("_id")).distinct()
+    # At most max_rows ids and each by language; rows that repeat an id count once.
     sample = cut(known.join(F.broadcast(chosen), F.col("id") == F.col("_id")).select("id", "lang", "text"))
-    langs = sorted(r[0] for r in sample.select("lang").distinct().limit(max_rows).collect())
+    langs = sorted(r[0] for r in sample.select("lang").distinct().collect())
     if not langs:
         return None
 
@@ -115,6 +119,7 @@ def fit(docs: DataFrame, learn: Column, max_rows: int = 4000, id_col: str = "doc
     idf = np.log((1 + len(y)) / (1 + np.bincount(slot, minlength=1 << BITS))) + 1
     value = value * idf[slot] * 30  # a scale near 1 for the commonest n-grams
     back = np.arange(len(y)) % 5 == 4
+    back &= np.bincount(y[~back], minlength=len(langs))[y] > 0
     train = np.flatnonzero(~back)
     pick = ~back[who]
     renumber = np.cumsum(~back) - 1

@@ -90,6 +90,13 @@ def test_language_without_labels(spark):
     assert language.identify(df, None).first()["lang_pred"] == "und"
 
 
+def test_rare_language_is_learned(spark):
+    df = spark.createDataFrame([(i, "the cat and the dog" if i % 2 else "el gato y el perro", "en" if i % 2 else "es") for i in range(300)] + [(1000, "čeština žije", "cs")], "doc_id long, text string, lang string")
+    model = language.fit(df, F.lit(True), max_rows=20)
+    assert model.langs == ["cs", "en", "es"]
+    assert (model.weight[:, 0] > 0).any()  # not held back
+
+
 def test_temperature_flattens_overconfidence():
     rng = np.random.default_rng(0)
     y = rng.integers(0, 2, 2000)
