@@ -3,6 +3,7 @@
 import itertools
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -123,7 +124,7 @@ def slow_counts(text):
 
 def test_base_counts_brute_force(spark):
     rng = np.random.default_rng(3)
-    texts = [None, "", "\n", "a b c\na b c\n\na b c", "w " * 40, "one two three four five six seven eight"] + [
+    texts = [None, "", "\n", "a b c\na b c\n\na b c", "w " * 40, "one two three four five six seven eight", "a\x1cb \x1d\n\x85 c", "x y\rz\x0bq " * 9] + [
         " ".join(rng.choice(list("abc"), rng.integers(1, 60))).replace("a b", "a\nb") + "#$" * int(rng.integers(0, 3)) for _ in range(40)
     ]
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, n_words int")
@@ -133,34 +134,176 @@ def test_base_counts_brute_force(spark):
         assert r["base_failed"] == (want[0] < 20 or 100 * want[4] > 30 * want[0]) and r["kept"] == (not r["base_failed"])
 
 
+BASE_SQL = """
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    w AS (SELECT doc_id, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, t FROM d),
+    i AS (SELECT doc_id, unnest(range(len(w) - 7)) AS i, w FROM w WHERE len(w) > 7),
+    k AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i + 1 : i + 8]) AS k FROM i),
+    r AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM k CROSS JOIN (SELECT unnest(range(8)) AS o) WHERE k > 1 GROUP BY 1),
+    l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
+    u AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY 1)
+    SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+           len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, coalesce(u.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
+    FROM w LEFT JOIN u USING (doc_id) LEFT JOIN r USING (doc_id)"""
+
+
+def test_base_counts_in_sql(spark, sf):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    got = quality.judge(spark.read.parquet(f"{sf}/documents.parquet"), None).select("doc_id", *quality.BASE).collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(BASE_SQL).fetchall())
+
+
+def test_blocks_measure_as_one(monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = [None, "", "\n", " \n x", "x\x1cy x", "𝔘𝔘 ab. 12\n12\n12", "é" * 9] + ["\n".join(" ".join(rng.choice(list("abC1#!."), 4)) for _ in range(rng.integers(1, 9))) for _ in range(30)]
+    want = [quality.measure([t]) for t in texts]
+    for block in (1, 50, 1 << 20):
+        monkeypatch.setattr(quality, "BLOCK", block)
+        base, lines = quality.measure(texts)
+        for i, (b, own) in enumerate(want):
+            at = lines.text == i
+            assert (base[i] == b[0]).all()
+            assert all(np.array_equal(getattr(lines, k)[at], getattr(own, k)) for k in ("number", "start", "end", "chars", "x"))
+            whole = (texts[i] or "").split("\n")
+            assert [(texts[i] or "")[a:z] for a, z in zip(own.start, own.end, strict=True)] == [whole[k] for k in own.number]
+    assert quality.measure([])[0].shape == (0, 5)
+
+
+def slow_features(line, again):
+    words = line.split()
+    chars, letters = sum(map(len, words)), sum(c.isalpha() for c in line)
+    return [
+        1, min(1, 10 * sum(c in "#*$%&|<>" for c in line) / chars), sum(c.isupper() for c in line) / max(1, letters), min(1, 5 * sum(c.isdigit() for c in line) / chars),
+        1 - len(set(words)) / len(words), sum(a == b for a, b in zip(words, words[1:], strict=False)) / max(1, len(words) - 1), min(1, 5 * (line.count("!") + line.count("?")) / len(words)),
+        words[-1][-1] in '.!?"»”', min(1, len(words) / 20), again,
+    ]
+
+
+def test_line_features_brute_force():
+    text = "One two two. 12 #\n\nÄÖ ß! ? |\nOne two two. 12 #\nend” \n𝔘 1"
+    lines = [x for x in text.split("\n") if x]
+    want = [slow_features(x, x in lines[:i]) for i, x in enumerate(lines)]
+    assert np.allclose(quality.measure([text])[1].x, np.array(want, float))
+
+
 def test_viterbi_against_all_paths():
     rng = np.random.default_rng(4)
-    for n in (1, 2, 5, 8):
-        m = quality.Crf(rng.normal(size=(quality.N_FEATURES, 2)), rng.normal(size=(2, 2)), rng.normal(size=2))
-        x = rng.normal(size=(n, quality.N_FEATURES))
-        e = x @ m.emit
+    sizes = (1, 5, 0, 2, 8, 1)
+    m = quality.Crf(rng.normal(size=(quality.N_FEATURES, 2)), rng.normal(size=(2, 2)), rng.normal(size=2))
+    x = rng.normal(size=(sum(sizes), quality.N_FEATURES))
+    got = np.split(quality.viterbi(x, np.repeat(np.arange(len(sizes)), sizes), len(sizes), m), np.cumsum(sizes)[:-1])
+    for n, rows, path in zip(sizes, np.split(x, np.cumsum(sizes)[:-1]), got, strict=True):
+        e = rows @ m.emit
         score = lambda p: m.first[p[0]] + sum(e[t, s] for t, s in enumerate(p)) + sum(m.move[a, b] for a, b in zip(p, p[1:], strict=False))  # noqa: E731,B023
-        assert tuple(quality.viterbi(x, m)) == max(itertools.product((0, 1), repeat=n), key=score)
-    assert len(quality.viterbi(np.empty((0, quality.N_FEATURES)), m)) == 0
+        assert not n or tuple(path) == max(itertools.product((0, 1), repeat=n), key=score)
+    assert len(quality.viterbi(np.empty((0, quality.N_FEATURES)), np.empty(0, np.int64), 2, m)) == 0
+    flat = quality.Crf(np.zeros((quality.N_FEATURES, 2)), np.zeros((2, 2)), np.zeros(2))
+    assert (quality.viterbi(x, np.repeat(np.arange(len(sizes)), sizes), len(sizes), flat) == quality.CONTENT).all()  # ties
 
 
-def test_crf_gradient_separates():
+def test_field_gradient_reaches_a_minimum():
+    """Brute force: no small step from the trained field lowers the penalised loss, summed over all label paths."""
     rng = np.random.default_rng(5)
-    made = [(np.c_[np.ones(k), rng.normal(c * 2 - 1, 0.5, (k, quality.N_FEATURES - 1))], c) for k in range(1, 100, 3) for c in (0, 1)]
-    m = quality.train(made)
-    assert all((quality.viterbi(x, m) == c).mean() > 0.9 for x, c in made)
+    texts = []
+    for k in range(1, 5):
+        for _ in range(6):
+            z = rng.integers(0, 2, k)
+            texts.append((np.c_[np.ones(k), rng.normal(z[:, None] * 1.5 - 0.7, 1, (k, quality.N_FEATURES - 1))], z))
+    share = [sum((z == c).sum() for _, z in texts) for c in (0, 1)]
+
+    def loss(m):
+        out = 0.0
+        for x, z in texts:
+            e = x @ m.emit
+            score = lambda p: m.first[p[0]] + sum(e[t, s] for t, s in enumerate(p)) + sum(m.move[a, b] for a, b in zip(p, p[1:], strict=False))  # noqa: E731,B023
+            weight = sum(0.5 / share[c] for c in z) / len(z)
+            out += weight * (np.logaddexp.reduce([score(p) for p in itertools.product((0, 1), repeat=len(z))]) - score(z))
+        return out + 1e-3 / 2 * sum((v**2).sum() for v in (m.emit, m.move, m.first))
+
+    m = quality.train(texts, steps=1500)
+    least = loss(m)
+    for field in ("emit", "move", "first"):
+        for at in np.ndindex(getattr(m, field).shape):
+            for step in (-0.05, 0.05):
+                moved = {k: getattr(m, k).copy() for k in ("emit", "move", "first")}
+                moved[field][at] += step
+                assert loss(quality.Crf(**moved)) > least - 1e-6
+
+
+def test_lines_get_labels_from_documents():
+    """A line of the other kind within a document is found, and half of each document keeps its label."""
+    rng = np.random.default_rng(8)
+    made, truth = [], []
+    for i in range(120):
+        z = np.full(10, i % 2)
+        z[rng.integers(10)] = 1 - i % 2
+        made.append(np.c_[np.ones(10), rng.normal(z[:, None] * 3 - 1.5, 0.6, (10, quality.N_FEATURES - 1))])
+        truth.append(z)
+    owner = np.repeat(np.arange(120), 10)
+    got = quality.line_labels(np.concatenate(made), np.full(1200, 7), owner, np.arange(120) % 2)
+    assert (got == np.concatenate(truth)).mean() > 0.99
+    same = quality.line_labels(np.ones((40, quality.N_FEATURES)), np.ones(40, int), np.repeat([0, 1], 20), np.array([0, 1]))
+    assert same[:20].mean() <= 0.5 <= same[20:].mean()
+
+
+def pure(line):
+    """A line whose kind shows at sight in the given tables: prose, or one of the junk forms."""
+    words = line.split()
+    if len(words) < 3:
+        return None
+    junk = sum(c in "#*$%&|<>" for c in line) >= len(words) / 2 or line.upper() == line or sum(a == b for a, b in itertools.pairwise(words)) > len(words) / 2
+    return int(junk)
+
+
+def test_held_out_splices_are_labelled_by_line(spark, larger):
+    """Lines of held-out good and bad texts, in turns: the field finds where they change."""
+    docs, labels = (spark.read.parquet(f"{larger}/{t}.parquet") for t in ("documents", "labels"))
+    learn = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    model = quality.fit(docs.filter(learn), labels)
+    held = docs.filter(~learn).join(labels, "doc_id").select("quality", "text").collect()
+    pool = {q: [x for r in held if r["quality"] == q for x in [[y for y in r["text"].split("\n") if pure(y) == 1 - q]] if x] for q in (0, 1)}
+    rng = np.random.default_rng(1)
+    hits = total = 0
+    shares = []
+    for _ in range(200):
+        c, parts, gold = int(rng.integers(2)), [], []
+        for _ in range(int(rng.integers(2, 5))):
+            lines = pool[1 - c][int(rng.integers(len(pool[1 - c])))]
+            a = int(rng.integers(len(lines)))
+            run = lines[a : a + int(rng.integers(1, 6))]
+            parts += run
+            gold += [c] * len(run)
+            c = 1 - c
+        _, own = quality.measure(["\n".join(parts)])
+        hits += int((quality.viterbi(own.x, own.text, 1, model) == np.array(gold)).sum())
+        total += len(gold)
+        shares.append(float(quality.content_shares(own, 1, model)[0]))
+    assert hits / total > 0.95
+    histogram = np.histogram(shares, bins=10, range=(0, 1))[0]
+    assert (histogram[1:9] > 0).all() and histogram[1:9].sum() > 100  # not two spikes
+    states = quality.line_states(docs, model)
+    assert states.columns == ["doc_id", "line", "start", "end", "boilerplate"]
+    inside = states.join(docs, "doc_id").filter(F.length(F.trim(F.expr("substring(text, int(start) + 1, int(end - start))"))) == 0)
+    assert inside.count() == 0
+
+
+def test_quality_on_held_out_rows(spark, larger):
+    docs, labels = (spark.read.parquet(f"{larger}/{t}.parquet") for t in ("documents", "labels"))
+    learn = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    r = quality.judge(docs, quality.fit(docs.filter(learn), labels)).join(labels, "doc_id").filter(~learn & ~F.col("base_failed"))
+    good = {x["quality"]: x["k"] for x in r.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()}
+    assert good[1] > 0.98 and good[0] < 0.1
 
 
-def test_quality_on_labelled_rows(spark, larger):
+def test_quality_edges(spark, larger):
     docs, labels = (spark.read.parquet(f"{larger}/{t}.parquet") for t in ("documents", "labels"))
-    model = quality.fit(docs, labels)
-    r = quality.judge(docs, model).join(labels, "doc_id").filter("NOT base_failed")
-    good = {x["quality"]: x["k"] for x in r.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()}
-    assert good[1] > 0.97 and good[0] < 0.2
+    model = quality.fit(docs, labels, max_lines=3)
     assert quality.judge(nasty(spark), model).count() == len(NASTY)
     assert quality.judge_column(nasty(spark), model).columns.count("n_words") == 1
-    assert quality.fit(docs, labels.filter("quality = 1")) is None
-    assert quality.judge(docs.limit(0), model).count() == 0
+    assert quality.fit(docs, labels.filter("quality = 1")) is None and quality.fit(docs, labels.limit(0)) is None
+    assert quality.fit(docs.limit(0), labels) is None
+    assert quality.judge(docs.limit(0), model).count() == 0 and quality.line_states(docs.limit(0), model).count() == 0
 
 
 def test_present_features_are_distinct(monkeypatch):

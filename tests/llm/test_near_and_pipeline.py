@@ -113,8 +113,8 @@ def test_pipeline_brute_force(spark, sf):
     crf = quality.fit(docs, labels)
     kept = []
     for r in left:
-        n, lines = quality.measure(r[1])
-        if n[0] >= 20 and 100 * n[4] <= 30 * n[0] and (crf is None or quality.content_share(lines, crf) >= 0.5):
+        (n,), lines = quality.measure([r[1]])
+        if n[0] >= 20 and 100 * n[4] <= 30 * n[0] and (crf is None or quality.content_shares(lines, 1, crf)[0] >= 0.5):
             kept.append(r)
     from pyspark.sql import functions as F
 
