@@ -101,20 +101,26 @@ def qa_records(spark, sf):
     return qa.select("conv_id", "turn", F.md5("q").alias("question"), F.md5("a").alias("answer"), F.md5(T.closed_book_prompt(F.col("q"))).alias("prompt"))
 
 
-OUTPUTS = [
-    (1, '{"question": "Who?", "answer": "Me."}'),
-    (2, '```json\n{"question": "Where was it.", "answer": "Here  now"}\n```'),
-    (3, 'thinking {not json} assistantfinal {"question": "Why", "answer": "A {brace} \\"quoted\\""} end'),
-    (4, '{"question": "Cut?", "answer": "no end of it'),
-    (5, "nothing here"),
-    (6, 'Final: {"question": "a", "answer": ""}'),
-]
+def qa_outputs(spark, sf):
+    """(conv_id, turn, form, raw): each user turn and the assistant's next as a generated text, in six forms that take turns."""
+    from pyspark.sql import Window
+
+    c = table(spark, sf, "conversations")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    nxt = c.select("conv_id", "turn", "role", "text", F.lead("role").over(w).alias("r2"), F.lead("text").over(w).alias("t2"))
+    qa = nxt.filter("role = 'user' AND r2 = 'assistant'").withColumn("form", (F.col("conv_id") + F.col("turn")) % 6)
+    pair = F.to_json(F.struct(F.col("text").alias("question"), F.col("t2").alias("answer")))
+    draft = F.lit('draft {"question": "Draft?", "answer": "wrong"} assistantfinal ')
+    forms = (
+        pair, F.concat(F.lit("```json\n"), pair, F.lit("\n```")), F.concat(draft, pair, F.lit(" end")), F.regexp_replace(pair, '"}$', ""),
+        F.concat(F.lit("\u0130\u0130 thinks: Final answer:= "), pair), F.concat(F.lit("Final: "), F.col("text")),
+    )
+    return qa.select("conv_id", "turn", "form", F.element_at(F.array(*forms), F.col("form").cast("int") + 1).alias("raw"))
 
 
 def qa_parse(spark, sf):
-    raw = spark.createDataFrame(OUTPUTS, "id int, raw string")
     q, a, why = T.parse_answer(F.col("raw"))
-    return raw.select("id", q.alias("question"), a.alias("answer"), why.alias("reason"))
+    return qa_outputs(spark, sf).select("conv_id", "turn", F.md5(q).alias("question"), F.md5(a).alias("answer"), why.alias("reason"))
 
 
 def sampled(spark, sf):
@@ -216,6 +222,14 @@ QUERIES = {
         b AS (SELECT conv_id, turn, a, CASE WHEN q = '' OR q LIKE '%?' THEN q ELSE regexp_replace(q, '[.!]+$', '') || '?' END AS q FROM a)
         SELECT conv_id, turn, md5(q) AS question, md5(a) AS answer, md5('Question: ' || q || chr(10) || 'Answer:') AS prompt FROM b""",
     ),
-    "qa_parse": (qa_parse, None),
+    "qa_parse": (
+        qa_parse,
+        """WITH n AS (SELECT conv_id, turn, role, text, lead(role) OVER w AS r2, lead(text) OVER w AS t2 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+        a AS (SELECT conv_id, turn, (conv_id + turn) % 6 = 5 AS lost, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS q, trim(regexp_replace(t2, '\\s+', ' ', 'g')) AS a
+              FROM n WHERE role = 'user' AND r2 = 'assistant'),
+        b AS (SELECT *, CASE WHEN q = '' OR q LIKE '%?' THEN q ELSE regexp_replace(q, '[.!]+$', '') || '?' END AS asked FROM a)
+        SELECT conv_id, turn, CASE WHEN NOT lost THEN md5(asked) END AS question, CASE WHEN NOT lost THEN md5(a) END AS answer,
+        CASE WHEN lost THEN 'unparsable' END AS reason FROM b""",
+    ),
 }
 assert SIZES and VECS

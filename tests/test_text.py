@@ -2,7 +2,6 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
 from plumbline.operators import corpus
-from plumbline.plans import corpus as plans
 
 
 def column(spark, values, fn):
@@ -35,19 +34,45 @@ def test_last_marker_by_priority(spark):
     assert got == ["a", "b final: c", "e", "none"]
 
 
+def test_marker_keeps_offsets(spark):
+    assert column(spark, ["final: İİ tail", "İİ Final Answer:= x", "ΑΣ FINAL: y", "final:"], T.after_last_marker) == ["İİ tail", "x", "y", ""]
+    assert [T.marked(t) for t in ("final: İİ tail", "İİ Final Answer:= x", "final:", "none")] == ["İİ tail", "x", "", ""]
+
+
 def test_first_object():
-    assert T.first_json_object('x {bad {"a": "}\\""} y') == '{"a": "}\\""}'
-    assert T.first_json_object("{[1]}") is None
-    assert T.first_json_object(None) is None
-
-
-def test_parse_cascade(spark, sf):
-    rows = {r["id"]: r for r in plans.qa_parse(spark, sf).collect()}
-    assert (rows[1]["question"], rows[1]["answer"]) == ("Who?", "Me.")
-    assert (rows[2]["question"], rows[2]["answer"]) == ("Where was it?", "Here now")
-    assert (rows[3]["question"], rows[3]["answer"]) == ("Why?", 'A {brace} "quoted"')
-    assert (rows[4]["question"], rows[4]["answer"]) == ("Cut?", "no end of it")
-    assert rows[5]["reason"] == "unparsable" and rows[6]["reason"] == "unparsable"
+    assert T.json_object('x {bad {"a": "}\\""} y') == {"a": '}"'}
+    assert T.json_object("{[1]}") is None and T.json_object("") is None
+    assert T.json_object('[{"a": 1}]') == {"a": 1}
+
+
+CASES = [
+    ('{"question": "Who?", "answer": "Me."}', "Who?", "Me."),
+    ('```json\n{"question": "Where was it.", "answer": "Here  now"}\n```', "Where was it?", "Here now"),
+    ('thinking {not json} assistantfinal {"question": "Why", "answer": "A {brace} \\"quoted\\""} end', "Why?", 'A {brace} "quoted"'),
+    ('{"question": "Cut?", "answer": "no end of it', "Cut?", "no end of it"),
+    ('{"question": "Cut?", "answer": "no brace"', "Cut?", "no brace"),
+    ('{"question": "Cut?", "answer": "ends"}"} \n', "Cut?", "ends"),
+    ('draft {"question": "Draft?", "answer": "wrong"} assistantfinal {"question": "Real?", "answer": "right"}', "Real?", "right"),
+    ('draft {"question": "Draft?", "answer": "right"} assistantfinal nothing', "Draft?", "right"),
+    ('{"question": "Draft?", "answer": "a"} final: {"question": "Real", "answer": "cut of', "Draft?", "a"),
+    ('x "question": "Draft?", "answer": "a" final: {"question": "Real", "answer": "cut of', "Real?", "cut of"),
+    ('{"question": "caf\\u00e9\\/?", "answer": "a\\r\\nb caf\\u00e9', "café/?", "a b café"),
+    ('{"question": "raw\nline \\"q\\"", "answer": "bad \\x escape\\\\ \\/"}', 'raw line "q"?', "bad \\x escape\\ \\/"),
+    ('{"question": 1, "answer": "a"}', None, None),
+    ("nothing here", None, None),
+    ('Final: {"question": "a", "answer": ""}', None, None),
+    ('{"question": "open', None, None),
+    ("", None, None),
+    (None, None, None),
+]
+
+
+def test_parse_cascade(spark):
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(CASES)], "i int, raw string")
+    q, a, why = T.parse_answer(F.col("raw"))
+    for r in df.select("i", q.alias("q"), a.alias("a"), why.alias("why")).collect():
+        want = CASES[r["i"]][1:]
+        assert ((r["q"], r["a"]), r["why"]) == (want, None if want[0] else "unparsable"), CASES[r["i"]]
 
 
 def test_stop_words_in_order(spark):
