@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,8 +28,8 @@ def get_session(app: str = "plumbline", cores: int | str = "*", **conf: str) ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is what the cluster names in ``spark.checkpoint.dir``. Only where that is unset (tests on
-    one machine) a temporary folder takes its place.
+    It is what the cluster names in ``spark.checkpoint.dir``. Only where that is unset on a local master (tests on
+    one machine) a temporary folder takes its place; elsewhere executors would not share it, so that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     jsc = spark.sparkContext._jsc.sc()
@@ -37,6 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(named)
         return named.rstrip("/")
     if jsc.getCheckpointDir().isEmpty():
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-"))
     return jsc.getCheckpointDir().get().rstrip("/")
 
@@ -54,11 +57,25 @@ def cut(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame, what: str = "table") -> DataFrame:
     """``df`` as a written table of the shared folder; unlike a checkpoint, it forgets how rows were partitioned.
 
-    A join that reads it shuffles it by itself, so that adaptive execution can split hot keys.
+    A join that reads it shuffles it by itself, so that adaptive execution can split hot keys. The table stays until
+    ``discard``, or until the shared folder is emptied.
     """
     path = fresh_path(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``stored`` wrote; nothing may read it any more."""
+    remove(df.sparkSession, df.stored_at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
