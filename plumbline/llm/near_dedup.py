@@ -9,14 +9,19 @@ probability that falls with their edit distance, not only with what they share.
    compared with it: as many pairs as members, never all pairs.
 3. A pair is a link if a banded alignment of both shingle sequences matches at least ``similarity`` of
    their union, in order. Links give components.
-4. Exactness beyond the leader: where a leader's followers fall into several components, followers outside the leader's component
-   are compared with all others in blocks of at most about ``BLOCK`` texts by shared-shingle counts, and what could be
-   similar enough is aligned. So no link between two texts that share a bucket is lost.
+4. Exactness beyond the leader: a leader's followers that fall into several components meet again by prefix filtering. Within the
+   group, a text's shingles are put in one order for all, those that the leader lacks first; two texts of the wanted
+   similarity share one of their first ``n - ceil(similarity * n) + 1``. Followers of different components that do are aligned, in blocks of
+   at most ``BLOCK`` texts a side. So no link between two followers of a leader is lost, and texts that share with each
+   other only what they share with the leader never meet.
 5. Every document gets the class of its node: connected components over all links.
 
-Defined cases: null and empty texts, or ones without words, are one class; a text of one to four words is one shingle; where the
-smallest id of a class repeats, exactly one of its rows is kept; a null id is never smallest unless all are null; an empty
-table gives an empty result; columns that clash with the added ones are replaced by those.
+Work is linear in the members of buckets, but for step 4, which grows with the pairs of components that share such a rare shingle.
+
+Defined cases: null and empty texts, or ones without words, are one class; a text of one to four words is one shingle; a very long text
+is one like any other (its sketch is made a bounded number of hash orders at a time); where the smallest id of a class repeats, exactly
+one of its rows is kept; a null id is never smallest unless all are null; an empty table gives an empty result; columns that clash with
+the added ones are replaced by those.
 """
 
 from __future__ import annotations
@@ -26,7 +31,6 @@ from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -34,10 +38,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from plumbline.llm.batches import sliced
-from plumbline.session import cut, stored
+from plumbline.session import cut, discard, stored
 
 SHINGLE = 5
 BLOCK = 256
+#: Shingles kept by a task for texts that come again.
+KEPT = 1 << 21
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _words: dict[str, int] = {}
 
@@ -130,14 +136,27 @@ def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
     return hits / (n + m - hits)
 
 
+def first_shingles(a: np.ndarray, leader: np.ndarray, least: float) -> np.ndarray:
+    """The prefix of ``a`` that shares a shingle with that of every text of similarity ``least``, those that the (sorted) leader lacks first."""
+    size = len(a) - int(np.ceil(least * len(a) - 1e-9)) + 1
+    at = np.searchsorted(leader, a)
+    at[at == len(leader)] = 0
+    common = leader[at] == a
+    return np.concatenate([np.sort(a[~common]), np.sort(a[common])])[:size]
+
+
 def _shingles_cache():
     kept: OrderedDict[bytes, np.ndarray] = OrderedDict()
+    size = 0
 
     def get(node: bytes, text: str) -> np.ndarray:
+        nonlocal size
         if node not in kept:
             kept[node] = labelled(words_of(text))
-            if len(kept) > 64:
-                kept.popitem(last=False)
+            size += len(kept[node])
+            while size > KEPT and len(kept) > 1:
+                size -= len(kept.popitem(last=False)[1])
+        kept.move_to_end(node)
         return kept[node]
 
     return get
@@ -163,16 +182,39 @@ def _sketches(df: DataFrame, id_col: str, text_col: str, bands: int, rows: int,
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp): the smallest node of each connected component of the links (u, v)."""
-    both = cut(edges.select("u", "v").union(edges.select("v", "u")).distinct())
-    label = cut(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("v")).select("node", F.least("node", "v").alias("comp")))
+    # Written tables throughout: a node with very many links is a hot key, and joins on it must be open to splitting.
+    both = stored(edges.select("u", "v").union(edges.select("v", "u")).distinct(), "near-edges")
+    label = stored(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("v")).select("node", F.least("node", "v").alias("comp")), "near-label")
     while True:
         near = both.join(label.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("comp").alias("near"))
         lower = label.join(near, "node").select("node", F.least("comp", "near").alias("comp"), F.col("comp").alias("was"))
         jump = label.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
-        new = cut(lower.join(jump, "comp", "left").select("node", F.coalesce(F.least("comp", "far"), "comp").alias("comp"), "was"))
-        label = new.drop("was")
+        new = stored(lower.join(jump, "comp", "left").select("node", F.coalesce(F.least("comp", "far"), "comp").alias("comp"), "was"), "near-label")
+        discard(label)
         if new.filter("comp != was").isEmpty():
-            return label
+            return new.drop("was")
+        label = new
+
+
+def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """``comp`` after links (u, v) between components, a node without links being its own."""
+    joined = components(links)
+    whole = comp.join(joined.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp", "left")
+    loose = joined.join(comp.select("node"), "node", "left_anti").select("node", "comp")
+    return stored(whole.select("node", F.coalesce("top", "comp").alias("comp")).unionByName(loose), "near-comp")
+
+
+def leaders(rows: DataFrame) -> DataFrame:
+    """(key, leader): the most central node of each bucket, from (key, node, n), n being the bucket's size."""
+    central = rows.groupBy("node").agg(F.sum("n").alias("score"))
+    best = rows.join(central, "node").groupBy("key").agg(F.max(F.struct("score", "node")).alias("best"))
+    return best.select("key", F.col("best.node").alias("leader"))
+
+
+def placed(rows: DataFrame, comp: DataFrame, node: str = "node", out: str = "comp") -> DataFrame:
+    """``rows`` with the component of ``node``, itself where it has no link."""
+    own = comp.select(F.col("node").alias("_node"), F.col("comp").alias("_comp"))
+    return rows.join(own, F.col(node) == F.col("_node"), "left").withColumn(out, F.coalesce("_comp", node)).drop("_node", "_comp")
 
 
 def classes(
@@ -187,34 +229,26 @@ def classes(
     """One row per row of ``df``: id, class_id (its class's smallest id), class_size, kept (one row by class), and the columns in ``carry``."""
     sk = _sketches(df, id_col, text_col, bands, rows, carry)
     first = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row"))
-    nodes = cut(sk.groupBy("node").agg(F.min(first).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys")))
+    nodes = stored(sk.groupBy("node").agg(F.min(first).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys")), "near-nodes")
 
+    # Tables that are joined on keys or leaders are written: a checkpoint would keep its partitioning, and a hot key one task.
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = cut(keyed.join(shared, "key"))
-    central = members.groupBy("node").agg(F.sum("n").alias("score"))
-    ranked = members.join(central, "node")
-    leaders = ranked.groupBy("key").agg(F.max(F.struct("score", "node")).alias("best")).select("key", F.col("best.node").alias("leader"))
-    star = cut(members.join(leaders, "key").filter("node != leader").select("leader", "node").distinct())
+    members = stored(keyed.join(shared, "key"), "near-members")
+    star = stored(members.join(leaders(members), "key").filter("node != leader").select("leader", "node").distinct(), "near-star")
 
     wanted = star.select("node").union(star.select(F.col("leader").alias("node"))).distinct()
     wanted = wanted.join(nodes.select("node", F.col("rep.id").alias("rep_id")), "node")
-    texts = cut(_texts(df, wanted, id_col, text_col))
+    texts = stored(_texts(df, wanted, id_col, text_col), "near-texts")
 
-    pairs = star.join(texts, "node").join(texts.select(F.col("node").alias("leader"), F.col("text").alias("leader_text")), "leader")
-    checked = cut(_align(pairs, similarity))
-    links = checked.filter("linked").select(F.col("leader").alias("u"), F.col("node").alias("v"))
-    comp = components(links)
-    more = _beyond_leaders(star, comp, texts, similarity)
-    joined = components(more)
-    whole = comp.join(joined.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp", "left")
-    loose = joined.join(comp.select("node"), "node", "left_anti").select("node", "comp")
-    comp = whole.select("node", F.coalesce("top", "comp").alias("comp")).unionByName(loose)
+    checked = _align(star, texts, similarity)
+    comp = components(checked.filter("linked").select(F.col("leader").alias("u"), F.col("node").alias("v")))
+    comp = merged(comp, _beyond_leaders(checked, comp, texts, similarity))
 
     known = nodes.drop("keys").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     best = known.groupBy("comp").agg(F.min("rep").alias("best"), F.sum("copies").alias("class_size"))
-    placed = known.select("node", "comp").join(best, "comp").drop("comp")
-    return sk.drop("keys").join(placed, "node").select(
+    found = known.select("node", "comp").join(best, "comp").drop("comp")
+    return sk.drop("keys").join(found, "node").select(
         F.col("id").alias(id_col),
         F.col("best.id").alias("class_id"),
         "class_size",
@@ -236,76 +270,115 @@ def _texts(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Data
     return found.mapInArrow(run, "node binary, text string").groupBy("node").agg(F.min("text").alias("text"))
 
 
-def _align(pairs: DataFrame, similarity: float) -> DataFrame:
+def _align(star: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(leader, node, linked, rare): whether a pair is a link, and the node's first shingles in the leader's order."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = _shingles_cache()
+        last, ordered = None, np.empty(0, np.uint64)
         for b in sliced(batches):
-            cols = [c.to_pylist() for c in b.columns]
-            ok = [aligned_similarity(get(u, lt), labelled(words_of(t)), similarity) >= similarity for u, v, t, lt in zip(*cols, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], ["leader", "node", "linked"])
-
-    return pairs.select("leader", "node", "text", "leader_text").mapInArrow(run, "leader binary, node binary, linked boolean")
-
-
-def _beyond_leaders(star: DataFrame, comp: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Links (u, v) between components that share a leader, not through it."""
-    placed = star.join(comp, "node", "left").select("leader", "node", F.coalesce("comp", "node").alias("comp"))
-    head = comp.select(F.col("node").alias("leader"), F.col("comp").alias("head"))
-    # Stored here, joins on a hot leader can be split over tasks, and its followers are counted in each task before they meet.
-    placed = stored(placed.join(head, "leader", "left").withColumn("stray", F.col("comp") != F.coalesce("head", "leader")).drop("head"), "near-placed")
-    split = stored(
-        placed.groupBy("leader")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("stray").cast("bigint")).alias("strays"))
-        .filter("strays > 0 and n > 1")
-        .select("leader", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"), F.ceil(F.col("strays") / BLOCK).cast("int").alias("ns")),
-        "near-split",
-    )
-    part = cut(placed.join(split, "leader").withColumn("h", F.xxhash64("node")))
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = part.filter("stray").select("leader", "node", "comp", F.pmod("h", F.col("ns").cast("bigint")).cast("int").alias("i"), each("nb").alias("j"), F.lit(True).alias("probe"))
-    right = part.select("leader", "node", "comp", each("ns").alias("i"), F.pmod("h", F.col("nb").cast("bigint")).cast("int").alias("j"), F.lit(False).alias("probe"))
-    rows = left.unionByName(right).join(texts, "node")
+            ok, rare = [], []
+            for u, v, t, lt in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                x, y = get(u, lt), labelled(words_of(t))
+                if u != last:
+                    last, ordered = u, np.sort(x)
+                ok.append(aligned_similarity(x, y, similarity) >= similarity)
+                rare.append(first_shingles(y, ordered, similarity).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_()), pa.array(rare, pa.list_(pa.int64()))], ["leader", "node", "linked", "rare"])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(block_links(pdf, similarity), columns=["u", "v"])
-
-    return cut(rows.groupBy("leader", "i", "j").applyInPandas(run, "u binary, v binary"))
-
-
-def block_links(pdf: pd.DataFrame, similarity: float, width: int = 4096) -> list[tuple[bytes, bytes]]:
-    """Links (component, component) between probes and the other rows, one for each pair of components that met."""
-    probes, rest = pdf[pdf["probe"]], pdf[~pdf["probe"]]
-    if not len(probes) or not len(rest):
+    pairs = star.join(texts, "node").join(texts.select(F.col("node").alias("leader"), F.col("text").alias("leader_text")), "leader")
+    found = pairs.select("leader", "node", "text", "leader_text").mapInArrow(run, "leader binary, node binary, linked boolean, rare array<bigint>")
+    return stored(found, "near-checked")
+
+
+def _beyond_leaders(checked: DataFrame, comp: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) between components among the followers of one leader."""
+    followers = placed(placed(checked.drop("linked"), comp), comp, "leader", "head")
+    followers = stored(followers.select("leader", "node", "rare", F.xxhash64("comp").alias("c"), (F.col("comp") != F.col("head")).alias("stray")), "near-followers")
+    several = followers.groupBy("leader").agg(F.count(F.lit(1)).alias("n"), F.max("stray").alias("any")).filter("any AND n > 1").select("leader")
+    followers = stored(followers.join(several, "leader").drop("stray"), "near-followers")
+
+    # Buckets of a group's shingles that several components have; of those with the same members, one.
+    rows = followers.select("node", "c", F.explode("rare").alias("x"), "leader").select(F.xxhash64("leader", "x").alias("key"), "node", "c")
+    sizes = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node") % (1 << 40)).alias("who"))
+    keys = sizes.filter("lo != hi").groupBy("n", "who", "lo", "hi").agg(F.min("key").alias("key")).select("key")
+    rows = stored(rows.join(keys, "key").distinct(), "near-meeting")
+
+    # Members of a bucket's largest component need not meet one another.
+    by_comp = rows.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
+    split = by_comp.groupBy("key").agg(F.max(F.struct("n", "c")).alias("most"), F.sum("n").alias("n"))
+    parts = lambda n: F.ceil(n / BLOCK).cast("int")
+    split = stored(split.select("key", F.col("most.c").alias("head"), parts(F.col("n")).alias("nb"), parts(F.col("n") - F.col("most.n")).alias("ns")), "near-split")
+    part = stored(rows.join(split, "key").withColumn("h", F.xxhash64("node")), "near-part")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    place = lambda n: F.pmod("h", F.col(n).cast("bigint")).cast("int")
+    left = part.filter("c != head").select("key", "node", "c", place("ns").alias("i"), each("nb").alias("j"), F.lit(True).alias("probe"))
+    right = part.select("key", "node", "c", each("ns").alias("i"), place("nb").alias("j"), F.lit(False).alias("probe"))
+    block = F.xxhash64("key", "i", "j")
+    met = left.unionByName(right).join(texts, "node").select(block.alias("block"), "key", "i", "j", "probe", "node", "c", "text")
+    dealt = met.repartition("block").sortWithinPartitions("key", "i", "j", "probe", "node")
+    found = dealt.mapInArrow(lambda batches: _blocks(batches, similarity), "u binary, v binary")
+    ends = placed(placed(stored(found, "near-found"), comp, "u", "cu"), comp, "v", "cv")
+    return ends.select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct()
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Links (node, node) of sorted blocks, each of which may go on in the next batch."""
+    get = _shingles_cache()
+    now, held = None, ([], [])
+
+    def links() -> pa.RecordBatch:
+        u, v = zip(*found, strict=True) if (found := block_links(held[1], held[0], similarity)) else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], ["u", "v"])
+
+    for b in sliced(batches):
+        for _, key, i, j, probe, node, c, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if (key, i, j) != now:
+                if held[1]:
+                    yield links()
+                now, held = (key, i, j), ([], [])
+            held[probe].append((node, c, get(node, text)))
+    if held[1]:
+        yield links()
+
+
+Member = tuple[bytes, int, np.ndarray]
+
+
+def block_links(probes: list[Member], rest: list[Member], similarity: float, width: int = 4096) -> list[tuple[bytes, bytes]]:
+    """Links between (node, component, shingles) of different components, one for each pair of components that met."""
+    if not probes or not rest:
         return []
-    a = [labelled(words_of(t)) for t in probes["text"]]
-    b = [labelled(words_of(t)) for t in rest["text"]]
+    a, b = [m[2] for m in probes], [m[2] for m in rest]
     na, nb = np.array([*map(len, a)]), np.array([*map(len, b)])
-    fa, fb = np.concatenate(a), np.concatenate(b)
-    both = np.intersect1d(fa, fb)
-    who_a, who_b = np.repeat(np.arange(len(a)), na), np.repeat(np.arange(len(b)), nb)
-    common = np.zeros((len(a), len(b)), np.float32)
-    for at in range(0, len(both), width):
-        part = both[at : at + width]
-        ma, mb = np.zeros((len(a), len(part)), np.float32), np.zeros((len(b), len(part)), np.float32)
-        for m, f, who in ((ma, fa, who_a), (mb, fb, who_b)):
-            k = np.searchsorted(part, f)
-            k[k == len(part)] = 0
-            ok = part[k] == f
-            m[who[ok], k[ok]] = 1
-        common += ma @ mb.T
-    could = common >= similarity * (na[:, None] + nb[None, :] - common) - 1e-6
-    up: dict[bytes, bytes] = {}
-
-    def root(x: bytes) -> bytes:
+    could = np.minimum(na[:, None], nb) >= similarity * np.maximum(na[:, None], nb) - 1e-6
+    could &= np.array([m[1] for m in probes])[:, None] != np.array([m[1] for m in rest])
+    if could.sum() > len(a) + len(b):
+        fa, fb = np.concatenate(a), np.concatenate(b)
+        both = np.intersect1d(fa, fb)
+        who_a, who_b = np.repeat(np.arange(len(a)), na), np.repeat(np.arange(len(b)), nb)
+        common = np.zeros((len(a), len(b)), np.float32)
+        for at in range(0, len(both), width):
+            part = both[at : at + width]
+            ma, mb = np.zeros((len(a), len(part)), np.float32), np.zeros((len(b), len(part)), np.float32)
+            for m, f, who in ((ma, fa, who_a), (mb, fb, who_b)):
+                k = np.searchsorted(part, f)
+                k[k == len(part)] = 0
+                ok = part[k] == f
+                m[who[ok], k[ok]] = 1
+            common += ma @ mb.T
+        could &= common >= similarity * (na[:, None] + nb[None, :] - common) - 1e-6
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
         while (y := up.get(x, x)) != x:
             x = y
         return x
 
     out = []
-    ca, cb = probes["comp"].tolist(), rest["comp"].tolist()
     for i, j in np.argwhere(could):
-        u, v = root(bytes(ca[i])), root(bytes(cb[j]))
+        u, v = root(probes[i][1]), root(rest[j][1])
         if u != v and aligned_similarity(a[i], b[j], similarity) >= similarity:
             up[u] = v
-            out.append((bytes(ca[i]), bytes(cb[j])))
+            out.append((probes[i][0], rest[j][0]))
     return out
