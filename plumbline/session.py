@@ -44,14 +44,21 @@ def shared_dir(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get().rstrip("/")
 
 
+#: Folders made in the shared one, in order; who has no more use for them may ``remove`` them.
+MADE: list[str] = []
+
+
 def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    MADE.append(f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}")
+    return MADE[-1]
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: cuts the lineage in the shared folder, so lost executors lose nothing."""
+    """Reliable checkpoint, made at once: cuts the lineage in the shared folder, so lost executors lose nothing."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    MADE.append(out._jdf.queryExecution().logical().rdd().getCheckpointFile().get())
+    return out
 
 
 def stored(df: DataFrame, what: str = "table") -> DataFrame:
