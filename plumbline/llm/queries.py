@@ -21,7 +21,8 @@ URL_RULES = [
 
 
 def fold(id_col: str, n: int) -> Column:
-    return F.crc32(F.col(id_col).cast("string")) % n
+    """crc32 of the id as text, modulo ``n``; a null id counts as the empty text (0)."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % n
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
