@@ -2,11 +2,14 @@
 
 The rank file's byte strings become strings of the 256 printable stand-in characters of the byte-level
 scheme (byte-to-character mapping), a tokenizers BPE model is made from them, and documents are
-encoded chunk by chunk. Every new chunk is checked against the rank file's own library; where a merge order differs, its ids
-hold. Decoding looks ids up in the reversed byte table; a character that is split over ids is whole again in the joined bytes.
-
-Defined cases: a null text is empty and has no ids; ids and extra columns pass through; bytes that are
-no UTF-8 (ids cut within a character) decode to U+FFFD in ``decode_text``, and exactly in ``decode_bytes``.
+encoded chunk by chunk, with the character each id begins in as its offset. Decoding looks ids up in the reversed byte table; a
+character that is split over ids is whole again in the joined bytes, and each of its ids has that character's offset. That the
+model gives the ids of the rank file's own library is held by the tests, not checked as it runs.
+
+Defined cases: a null text is empty and has no ids; an empty table gives an empty result; repeated rows each get a row; a very long
+text is encoded whole, in parts that are cut where no token can cross; other columns pass through ``encode_column``, where those
+named like its results are replaced, and are dropped by ``round_trip``; bytes that are no UTF-8 (ids cut within a
+character) decode to U+FFFD in ``decode_text``, and exactly in ``decode_bytes``.
 """
 
 from __future__ import annotations
@@ -23,7 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from plumbline.llm.batches import sliced
-from plumbline.llm.chunks import ODD_SPACE, SPACED, ChunkEncoder, Encoded, encode_chunks
+from plumbline.llm.chunks import SpacedEncoder, encode_chunks
+
+#: Fixed value: what the byte-level scheme of the tokenizers library cuts by.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def byte_characters() -> list[str]:
@@ -39,10 +45,9 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 @functools.cache
-def _model(path: str, pattern: str):
-    """(tokenizers' tokenizer, tiktoken's encoding, bytes by id) of a rank file."""
-    import tiktoken
-    from tokenizers import Tokenizer, models, pre_tokenizers
+def _model(path: str, pattern: str = BYTE_LEVEL):
+    """(tokenizers' tokenizer that cuts by ``pattern``, bytes of all ids one after another, place of each id's first byte and of the end) of a rank file."""
+    from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
     ranks = read_ranks(path)
     chars = byte_characters()
@@ -54,51 +59,52 @@ def _model(path: str, pattern: str):
         if ranks.get(t[:k], 1 << 31) < ranks[t] and ranks.get(t[k:], 1 << 31) < ranks[t]
     ]
     tok = Tokenizer(models.BPE(vocab={shown[t]: r for t, r in ranks.items()}, merges=merges))
-    tok.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
     tok.encode_special_tokens = True
+    mapped = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=pattern == BYTE_LEVEL)
+    tok.pre_tokenizer = mapped if pattern == BYTE_LEVEL else pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), mapped])
     back = {c: b for b, c in enumerate(chars)}
     table = [b""] * (max(ranks.values()) + 1)
     for s, i in tok.get_vocab().items():
         table[i] = bytes(back[c] for c in s)
-    exact = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return tok, exact, table
+    return tok, np.frombuffer(b"".join(table), np.uint8), np.append(0, np.cumsum([*map(len, table)]))
 
 
 @functools.cache
-def encoder(path: str, pattern: str) -> ChunkEncoder:
-    tok, exact, _ = _model(path, pattern)
-
-    def encode(chunks: list[str]) -> Encoded:
-        ids, n, _ = encode_chunks(tok, chunks, offsets=False)
-        right = [exact.encode_ordinary(c) for c in chunks]
-        if not np.array_equal(ids, flat := np.array([*itertools.chain(*right)], np.uint32)):
-            ids, n = flat, np.array([*map(len, right)], np.int64)
-        return ids, n, ids[:0]
+def encoder(path: str, pattern: str, offsets: bool = False) -> SpacedEncoder:
+    tok = _model(path, pattern)[0]
+    # By another pattern, white space may not part pre-tokens: each text is one chunk.
+    return SpacedEncoder(lambda chunks: encode_chunks(tok, chunks, offsets), cut=pattern == BYTE_LEVEL)
 
-    return ChunkEncoder(encode, SPACED, ODD_SPACE)
 
-
-def encode_column(df: DataFrame, path: str, pattern: str, text_col: str = "text", out: str = "ids") -> DataFrame:
-    """``df`` with its text's ids as ``array<int>``."""
-    own = df.drop(out)
+def encode_column(df: DataFrame, path: str, pattern: str, text_col: str = "text", out: str = "ids", offsets: str | None = None) -> DataFrame:
+    """``df`` with its text's ids as ``array<int>`` and, under the name ``offsets``, the character that each begins in."""
+    added = [out, offsets] if offsets else [out]
+    own = df.drop(*added)
     names = own.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, pattern)
+        enc = encoder(path, pattern, bool(offsets))
         for b in sliced(batches):
-            texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
-            ids = pa.array([x.astype(np.int32) for x in enc.documents(texts)], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in names), ids], [*names, out])
+            at = 0
+            for ids, n, first in enc.encoded(b.column(b.schema.get_field_index(text_col)), bool(offsets)):
+                edges = pa.array(np.append(0, np.cumsum(n)), pa.int32())
+                made = [pa.ListArray.from_arrays(edges, pa.array(x.astype(np.int32))) for x in ((ids, first) if offsets else (ids,))]
+                yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)).slice(at, len(n)) for c in names), *made], [*names, *added])
+                at += len(n)
 
-    return own.mapInArrow(run, StructType([*own.schema.fields, StructField(out, ArrayType(IntegerType()))]))
+    return own.mapInArrow(run, StructType([*own.schema.fields, *(StructField(c, ArrayType(IntegerType())) for c in added)]))
 
 
-def decode_bytes(ids: list[int], table: list[bytes]) -> bytes:
-    return b"".join(map(table.__getitem__, ids))
+def decode_bytes(ids: np.ndarray, path: str) -> np.ndarray:
+    """The bytes (uint8) that ids stand for."""
+    _, flat, edge = _model(path)
+    n = edge[ids + 1] - edge[ids]
+    end = np.cumsum(n)
+    return flat[np.arange(end[-1] if len(end) else 0) + np.repeat(edge[ids] - (end - n), n)]
 
 
-def decode_text(ids: list[int], path: str, pattern: str) -> str:
-    return decode_bytes(ids, _model(path, pattern)[2]).decode("utf-8", "replace")
+def decode_text(ids: list[int], path: str) -> str:
+    return decode_bytes(np.array(ids, np.int64), path).tobytes().decode("utf-8", "replace")
 
 
 def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -106,23 +112,18 @@ def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, pattern)
-        table = _model(path, pattern)[2]
-        waiting: list[pa.RecordBatch] = []
-
-        def texts() -> Iterator[str | None]:
-            for b in sliced(batches):
-                waiting.append(b)
-                yield from b.column(1).to_pylist()
-
-        n, ids_sha, text_sha = [], [], []
-        for ids in enc.documents(texts()):
-            n.append(len(ids))
-            ids_sha.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-            text_sha.append(hashlib.sha256(decode_bytes(ids.tolist(), table)).hexdigest())
-            if len(n) == waiting[0].num_rows:
-                cols = [waiting.pop(0).column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+        edge = _model(path)[2]
+        digests = lambda data, ends: [hashlib.sha256(data[a:b]).hexdigest() for a, b in itertools.pairwise([0, *ends.tolist()])]
+        for b in sliced(batches):
+            at = 0
+            for ids, n, _ in enc.encoded(b.column(1)):
+                ends = np.cumsum(n)
+                size = np.append(0, np.cumsum(edge[ids.astype(np.int64) + 1] - edge[ids]))
+                coded = digests(ids.astype("<u4").data.cast("B"), 4 * ends)
+                decoded = digests(decode_bytes(ids.astype(np.int64), path).data, size[ends])
+                cols = [b.column(0).slice(at, len(n)), pa.array(n), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
                 yield pa.RecordBatch.from_arrays(cols, [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
-                n, ids_sha, text_sha = [], [], []
+                at += len(n)
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

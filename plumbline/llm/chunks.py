@@ -2,7 +2,7 @@
 
 A text is cut where ASCII white space makes a boundary of pre-tokens certain, each distinct chunk is
 encoded once by the tokenizers library and kept in a bounded cache, and a document's ids are gathered
-from it. Memory is bounded by BLOCK_CHARS of text, CACHE_CHARS of chunks, and the ids of one document.
+from it; they are those of the whole text. Memory is bounded by BLOCK_CHARS of text, CACHE_CHARS of chunks, and the ids of one document.
 """
 
 from __future__ import annotations
@@ -29,8 +29,6 @@ ALNUM = re.compile("[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u02
 MARKS = ".,;:!?"
 #: What Arrow takes for ASCII white space, and tokenizers don't.
 SEPARATORS = re.compile("[\x1c-\x1f]")
-#: Words with the one space before them, and runs of white space short of that.
-SPACED = re.compile(rf" ?[^{WS}]+|[{WS}]+(?![^{WS}])|[{WS}]+")
 #: White space beyond ASCII, or nearly: runs that mix it with the above are not cut.
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏ -  　﻿]")
 _CUT = re.compile(rf"[^{WS}] (?=[^{WS}])")
@@ -93,15 +91,11 @@ def encode_chunks(tok, chunks: list[str], offsets: bool) -> Encoded:
     return np.array(e.ids, np.uint32), n, starts
 
 
-class ChunkEncoder:
-    """``encode`` maps chunks as ``encode_chunks`` does; ids and, if it gives any, first characters are kept by chunk.
+class Cache:
+    """The ids of chunks, and the first character of each id, as ``encode`` gives them (in the manner of ``encode_chunks``)."""
 
-    ``pattern`` cuts a text into chunks, unless ``whole`` finds something in it. With ``words``, chunks are what ASCII white space
-    parts, and closing marks after a letter or digit are encoded apart from their word.
-    """
-
-    def __init__(self, encode, pattern: re.Pattern[str], whole: re.Pattern[str] | None = None, words: bool = False) -> None:
-        self.encode, self.pattern, self.whole, self.words = encode, pattern, whole, words
+    def __init__(self, encode) -> None:
+        self.encode = encode
         self._clear()
 
     def _clear(self) -> None:
@@ -132,6 +126,10 @@ class ChunkEncoder:
                 self.starts.add(*starts.gather(again))
             self._name([words[i] for i in again])
 
+    def _joint(self, new: list[str]) -> list[tuple[str, str]]:
+        """New chunks that are encoded in two parts, and the first of these."""
+        return []
+
     def _numbers(self, chunks: list[str]) -> np.ndarray:
         if self.chars > CACHE_CHARS:
             self._shrink()
@@ -140,7 +138,7 @@ class ChunkEncoder:
         missing = np.flatnonzero(out < 0)
         if len(missing):
             new = [*dict.fromkeys(chunks[i] for i in missing)]
-            joint = [(w, h) for w in new if w[-1:] in MARKS and (h := w.rstrip(MARKS)) and ALNUM.match(h[-1])] if self.words else []
+            joint = self._joint(new)
             pairs = [x for w, h in joint for x in (h, w[len(h) :])]
             single = {*new}.difference(w for w, _ in joint).union(pairs) if joint else new
             if fresh := [w for w in single if w not in known]:
@@ -155,17 +153,20 @@ class ChunkEncoder:
         self.uses[out] += 1
         return out
 
-    def _parts(self, text: str) -> Iterator[list[str]]:
-        if self.whole is not None and self.whole.search(text):
-            yield [text]
-            return
-        for s in slices(text):
-            yield self.pattern.findall(s)
+
+class WordEncoder(Cache):
+    """Chunks are what ASCII white space parts; it is dropped, and closing marks after a letter or digit are encoded apart from their word.
+
+    For tokenizers that normalise to NFC and lower case, part words at white space and marks, and have the marks as pre-tokens of their own.
+    """
+
+    def _joint(self, new: list[str]) -> list[tuple[str, str]]:
+        return [(w, h) for w in new if w[-1:] in MARKS and (h := w.rstrip(MARKS)) and ALNUM.match(h[-1])]
 
     def _alone(self, text: str) -> np.ndarray:
         out = []
-        for p in self._parts(text):
-            runs = self._numbers(p)  # may rebuild the cache, so it comes first
+        for part in slices(text):
+            runs = self._numbers(WORDS.findall(part))  # may rebuild the cache, so it comes first
             out.append(self.ids.gather(runs)[0])
         return np.concatenate(out)
 
@@ -174,8 +175,8 @@ class ChunkEncoder:
         held: list[str] = []
         chars = 0
         for t in texts:
-            t = lowered(t or "") if self.words else t or ""
-            alone = len(t) > BLOCK_CHARS or (self.words and SEPARATORS.search(t) is not None)
+            t = lowered(t or "")
+            alone = len(t) > BLOCK_CHARS or SEPARATORS.search(t) is not None
             if alone or chars > 4 * BLOCK_CHARS:
                 yield from self._together(held)
                 held, chars = [], 0
@@ -189,28 +190,93 @@ class ChunkEncoder:
     def _together(self, texts: list[str]) -> Iterator[np.ndarray]:
         if not texts:
             return
-        if self.words:
-            split = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
-            coded = split.values.dictionary_encode()
-            runs = self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-            ends = split.offsets.to_numpy()[1:]
-        else:
-            parts = [[c for p in self._parts(t) for c in p] for t in texts]
-            runs = self._numbers([*itertools.chain(*parts)])
-            ends = np.cumsum([*map(len, parts)])
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+        coded = split.values.dictionary_encode()
+        runs = self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
         ids, n = self.ids.gather(runs)
-        yield from np.split(ids, np.append(0, np.cumsum(n))[ends[:-1]])
-
-    def spans(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """ids of a text and the character each begins in (``pattern`` must cover all characters)."""
-        ids, starts, base = [], [], 0
-        for p in self._parts(text or ""):
-            numbers = self._numbers(p)
-            x, n = self.ids.gather(numbers)
-            s, _ = self.starts.gather(numbers)
-            lengths = np.fromiter(map(len, p), np.int64, len(p))
-            first = base + np.cumsum(lengths) - lengths
-            ids.append(x)
-            starts.append(s.astype(np.int64) + np.repeat(first, n))
-            base += int(lengths.sum())
-        return np.concatenate(ids), np.concatenate(starts)
+        yield from np.split(ids, np.append(0, np.cumsum(n))[split.offsets.to_numpy()[1:-1]])
+
+
+_IS_SPACE = np.isin(np.arange(256), [*b" \t\n\r\f\v"])
+
+
+def spaced(texts: pa.Array, uncut: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The chunks of texts without nulls, from their bytes: (chunks, number of chunks by text, characters by chunk).
+
+    A chunk is a word with the one space before it; a run of white space short of its last character before a word; that character, if it
+    is no space; or a run at the end. Texts marked ``uncut`` are one chunk each.
+    """
+    texts = texts.cast(pa.large_string())
+    _, offsets, data = texts.buffers()
+    edge = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(data, np.uint8)[edge[0] : edge[-1]] if data is not None else np.empty(0, np.uint8)
+    edge = edge - edge[0]
+    first, last = edge[:-1][np.diff(edge) > 0], edge[1:][np.diff(edge) > 0] - 1
+    blank = _IS_SPACE[data]
+    after_blank, before_word = np.zeros(len(data), bool), np.zeros(len(data), bool)
+    after_blank[1:] = blank[:-1]
+    after_blank[first] = False
+    before_word[:-1] = ~blank[1:]
+    before_word[last] = False
+    begins = blank & (~after_blank | before_word)
+    begins[1:] |= ~blank[1:] & after_blank[1:] & (data[:-1] != 32)
+    begins[np.repeat(uncut, np.diff(edge))] = False
+    begins[first] = True
+    at = np.flatnonzero(begins)
+    made = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(np.append(at, len(data))), pa.py_buffer(np.ascontiguousarray(data))])
+    chars = np.add.reduceat((data & 0xC0) != 0x80, at, dtype=np.int64) if len(at) else at
+    return made, np.diff(np.searchsorted(at, edge)), chars
+
+
+class SpacedEncoder(Cache):
+    """Chunks as ``spaced`` gives them, for tokenizers of the byte-level scheme; texts with white space beyond ASCII are one chunk each.
+
+    Without ``cut``, all texts are.
+    """
+
+    def __init__(self, encode, cut: bool = True) -> None:
+        super().__init__(encode)
+        self.cut = cut
+
+    def _whole(self, texts: pa.Array) -> np.ndarray:
+        return pc.match_substring_regex(texts, ODD_SPACE.pattern).to_numpy(zero_copy_only=False) if self.cut else np.ones(len(texts), bool)
+
+    def _chunks(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        made, n, chars = spaced(texts, self._whole(texts))
+        coded = made.dictionary_encode()
+        return self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()], n, chars
+
+    def batches(self, texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+        """(first row, texts) of blocks of about BLOCK_CHARS bytes; nulls become empty."""
+        texts = pc.fill_null(texts, "")
+        size = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+        if not len(texts):
+            return
+        block = np.cumsum(size) // (2 * BLOCK_CHARS)
+        edges = [0, *(np.flatnonzero(np.diff(block)) + 1), len(texts)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            yield a, texts.slice(a, b - a)
+
+    def encoded(self, texts: pa.Array, starts: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Block by block: the ids of all texts, the number of ids by text, and with ``starts`` the character of its text that each id begins in."""
+        for _, own in self.batches(texts):
+            parts, text_of = own, np.arange(len(own))
+            if pc.max(pc.binary_length(own)).as_py() > 8 * BLOCK_CHARS:  # very long texts in parts, so that masks of them stay small
+                cut = [[t] if odd else [*slices(t)] for t, odd in zip(own.to_pylist(), self._whole(own), strict=True)]
+                parts, text_of = pa.array([x for c in cut for x in c], pa.large_string()), np.repeat(text_of, [*map(len, cut)])
+            ids, n, first = [], np.zeros(len(own), np.int64), []
+            base, now = 0, -1
+            for k in range(0, len(parts), 1 if parts is not own else max(1, len(parts))):
+                piece = parts.slice(k, 1) if parts is not own else parts
+                runs, chunks, chars = self._chunks(piece)
+                x, size = self.ids.gather(runs)
+                ends = np.append(0, np.cumsum(size))[np.cumsum(chunks)]
+                n += np.bincount(text_of[k : k + len(piece)], np.diff(ends, prepend=0), len(own)).astype(np.int64)
+                ids.append(x)
+                if starts:
+                    edge = np.append(0, np.cumsum(chars))
+                    begin = edge[:-1] - np.repeat(edge[np.cumsum(chunks) - chunks], chunks)
+                    base = base if text_of[k] == now else 0
+                    first.append(self.starts.gather(runs)[0].astype(np.int64) + np.repeat(begin, size) + base)
+                    now, base = text_of[k], base + int(edge[-1])
+            yield np.concatenate(ids), n, np.concatenate(first) if starts else np.empty(0, np.int64)

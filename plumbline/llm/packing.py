@@ -24,19 +24,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from plumbline.llm.batches import sliced
-from plumbline.llm.chunks import WORDS, ChunkEncoder, encode_chunks
+from plumbline.llm.chunks import WordEncoder, encode_chunks
 
 #: (document, start in it, length, sequence, offset there)
 Piece = tuple[int, int, int, int, int]
 
 
 @functools.cache
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str) -> WordEncoder:
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
 
-    return ChunkEncoder(lambda chunks: encode_chunks(tok, chunks, offsets=False), WORDS, words=True)
+    return WordEncoder(lambda chunks: encode_chunks(tok, chunks, offsets=False))
 
 
 def pack(lengths: list[int], capacity: int = 4096, linear: float = 1.0, quadratic: float = 1 / 4096) -> list[Piece]:

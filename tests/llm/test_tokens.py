@@ -2,10 +2,13 @@
 
 import hashlib
 import random
+import re
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 
 from plumbline.llm import bpe, packing, token_counts
@@ -22,8 +25,14 @@ def docs(spark):
     return spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(TEXTS)] + [(3, "\n\n", 1, "x")], "doc_id long, text string, n_tokens int, start string").repartition(3)
 
 
+def ranks_library(path, pattern):
+    import tiktoken
+
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+
+
 def test_bpe_as_tiktoken(spark, docs):
-    exact = bpe._model(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)[1]
+    exact = ranks_library(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     got = bpe.round_trip(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()
     assert len(got) == len(TEXTS) + 1
     for r in got:
@@ -34,43 +43,108 @@ def test_bpe_as_tiktoken(spark, docs):
         assert r["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()
 
 
-def test_bpe_column_and_split_characters(spark):
+@pytest.mark.parametrize("name", ["byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"])
+def test_model_has_the_merges_of_the_ranks(name):
+    """Every distinct chunk of the given texts, and fuzzed ones: the tokenizers model gives the rank library's ids."""
+    exact, tok = ranks_library(P.path(name), P.PATTERN), bpe._model(P.path(name))[0]
+    texts = [r[0] for r in duckdb.sql("SELECT text FROM '/root/testdata/sf0.001/documents.parquet' WHERE text IS NOT NULL").fetchall()]
+    chunks = {c for t in texts for c in t.replace("\n", " ").split(" ")} | {"".join(random.choice("abcdefghé中🙂'\u0301 \u00ad") for _ in range(random.randint(1, 30))) for _ in range(5000)}
+    for c in chunks:
+        assert tok.encode(c, add_special_tokens=False).ids == exact.encode_ordinary(c), c
+
+
+def test_bpe_by_another_pattern(spark):
+    path, pattern = P.path("byte_bpe_50k.tiktoken"), r"\p{L}+|\P{L}+"
+    texts = ["a  b c\n\nd. 12", "", "éß 中 1"]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["ids"] for r in bpe.encode_column(df, path, pattern).collect()}
+    assert got == {i: ranks_library(path, pattern).encode_ordinary(t) for i, t in enumerate(texts)}
+
+
+def test_bpe_column_offsets_and_split_characters(spark, docs):
     path = P.path("byte_bpe_50k.tiktoken")
-    df = spark.createDataFrame([(1, "中 𓀀", [0])], "doc_id long, text string, ids array<int>")
-    ids = bpe.encode_column(df, path, P.PATTERN).first()["ids"]
-    assert bpe.decode_text(ids, path, P.PATTERN) == "中 𓀀"
-    assert bpe.decode_text(ids[:-1], path, P.PATTERN).endswith("\ufffd")
-    assert bpe.round_trip(df.limit(0), path, P.PATTERN).count() == 0
+    df = spark.createDataFrame([(1, "中 𓀀", [0], "x")], "doc_id long, text string, ids array<int>, at string")
+    r = bpe.encode_column(df, path, P.PATTERN, offsets="at").first()
+    assert bpe.decode_text(r["ids"], path) == "中 𓀀"
+    assert bpe.decode_text(r["ids"][:-1], path).endswith("\ufffd")
+    assert r["at"] == [0] * r["at"].count(0) + [1] * r["at"].count(1) + [2] * r["at"].count(2) and r["at"].count(2) > 1  # a split character's ids share its place
+    tok = bpe._model(path)[0]
+    for r in bpe.encode_column(docs, path, P.PATTERN, offsets="at").collect():
+        e = tok.encode(TEXTS[r["doc_id"]] or "", add_special_tokens=False)
+        assert r["ids"] == e.ids and r["at"] == [a for a, _ in e.offsets] and r["n_tokens"] == 1
+    assert bpe.round_trip(df.limit(0), path, P.PATTERN).count() == 0 and bpe.encode_column(df.limit(0), path, P.PATTERN).count() == 0
     assert sorted(bpe.byte_characters()) == sorted(set(bpe.byte_characters())) and len(bpe.byte_characters()) == 256
 
 
+def slow_chunks(text):
+    return re.findall(r" ?[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+(?![^ \t\n\r\f\v])|[ \t\n\r\f\v]+", text)
+
+
+def test_chunks_brute_force():
+    from plumbline.llm import chunks
+
+    texts = [t or "" for t in TEXTS if not t or len(t) < 1000]
+    arr = pa.array(["skipped", *texts])[1:]  # with an offset
+    made, n, chars = chunks.spaced(arr, np.zeros(len(texts), bool))
+    want = [slow_chunks(t) for t in texts]
+    assert made.to_pylist() == [c for w in want for c in w] and n.tolist() == [*map(len, want)] and chars.tolist() == [len(c) for w in want for c in w]
+    made, n, _ = chunks.spaced(arr, np.ones(len(texts), bool))
+    assert made.to_pylist() == [t for t in texts if t] and n.tolist() == [int(t != "") for t in texts]
+    assert chunks.spaced(arr[:0], np.zeros(0, bool))[1].tolist() == []
+
+
+def test_very_long_texts_in_parts(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from plumbline.llm import chunks
+
+    monkeypatch.setattr(chunks, "BLOCK_CHARS", 60)
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    enc = chunks.SpacedEncoder(lambda c: chunks.encode_chunks(tok, c, offsets=True))
+    texts = [None, "", "é word " * 200, "short one", "\xa0odd space " * 60, "x y\n\nz " * 90, "a"]
+    rows = [(i, f) for ids, n, first in enc.encoded(pa.array(texts), True) for i, f in zip(np.split(ids, np.cumsum(n)[:-1]), np.split(first, np.cumsum(n)[:-1]), strict=True)]
+    for t, (ids, first) in zip(texts, rows, strict=True):
+        e = tok.encode(t or "", add_special_tokens=False)
+        assert ids.tolist() == e.ids and first.tolist() == [a for a, _ in e.offsets]
+
+
+MANY_LINES = "\n".join("".join(random.choice(_CHARS) for _ in range(random.randint(0, 40))) for _ in range(30_000))
+
+
 def test_sections_brute_force(spark, docs):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     tok.encode_special_tokens = True
     got = {}
-    for r in token_counts.section_counts(docs, P.path("byte_bpe_50k.json")).collect():
+    texts = [*TEXTS, MANY_LINES, MANY_LINES.replace("\xa0", "").replace("\x1c", "").replace("\x85", "")]
+    more = docs.sparkSession.createDataFrame([(i, texts[i], 1, "x") for i in range(len(TEXTS), len(texts))], docs.schema)
+    for r in token_counts.section_counts(docs.unionByName(more), P.path("byte_bpe_50k.json")).collect():
         got.setdefault(r["doc_id"], {})[r["section"]] = (r["start"], r["end"], r["n_tokens"])
-    for i, t in enumerate(TEXTS):
+    for i, t in enumerate(texts):
         t = t or ""
-        starts = [a for a, _ in tok.encode(t, add_special_tokens=False).offsets]
+        starts = np.array([a for a, _ in tok.encode(t, add_special_tokens=False).offsets], np.int64)
         at, want = 0, {}
         lines = t.split("\n")
         if len(lines) > 1 and not lines[-1]:
             lines.pop()
         for k, line in enumerate(lines):
             end = min(len(t), at + len(line) + 1)
-            want[k] = (at, end, sum(at <= s < end for s in starts) if len(starts) < 5000 else len(starts))
+            want[k] = (at, end, int(((starts >= at) & (starts < end)).sum()) if len(lines) < 5000 else int(np.searchsorted(starts, end) - np.searchsorted(starts, at)))
             at = end
         assert got[i] == want, i
     assert token_counts.section_counts(docs.limit(0), P.path("byte_bpe_50k.json")).count() == 0
+    null = spark.createDataFrame([(None, "a b\nc"), (None, None)], "doc_id long, text string")
+    assert sorted((r["section"], r["n_tokens"]) for r in token_counts.section_counts(null, P.path("byte_bpe_50k.json")).collect()) == [(0, 0), (0, 3), (1, 1)]
+    parted = token_counts.section_counts(spark.createDataFrame([(1, "a--b----é")], "doc_id long, text string"), P.path("byte_bpe_50k.json"), separator="--").collect()
+    assert sorted((r["start"], r["end"]) for r in parted) == [(0, 3), (3, 6), (6, 8), (8, 9)]
 
 
 def test_field_counts(spark):
     df = spark.createDataFrame([(1, "a title", "some body text here", None)], "doc_id long, title string, body string, extra string")
     got = {r["field"]: r["n_tokens"] for r in token_counts.field_counts(df, P.path("byte_bpe_50k.json"), ["title", "body", "extra"]).collect()}
     assert got == {"title": 3, "body": 5, "extra": 0}
+    assert token_counts.field_counts(df.limit(0), P.path("byte_bpe_50k.json"), ["title"]).count() == 0
 
 
 def check_pieces(rows, ids):
@@ -135,5 +209,9 @@ def test_full_cache_keeps_results(monkeypatch):
     texts = [" ".join(random.choice("abcdefgh") * random.randint(1, 4) + random.choice([".", ",", ""]) for _ in range(50)) for _ in range(200)]
     monkeypatch.setattr(chunks, "CACHE_CHARS", 150)
     monkeypatch.setattr(chunks, "BLOCK_CHARS", 200)
-    enc = chunks.ChunkEncoder(lambda c: chunks.encode_chunks(tok, c, offsets=False), chunks.WORDS, words=True)
+    enc = chunks.WordEncoder(lambda c: chunks.encode_chunks(tok, c, offsets=False))
     assert [x.tolist() for x in enc.documents(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    enc = chunks.SpacedEncoder(lambda c: chunks.encode_chunks(tok, c, offsets=False))
+    got = [x.tolist() for ids, n, _ in enc.encoded(pa.array(texts)) for x in np.split(ids, np.cumsum(n)[:-1])]
+    assert got == [tok.encode(t, add_special_tokens=False).ids for t in texts]
