@@ -92,14 +92,15 @@ def _url_sql() -> str:
     fits = lambda r: "(host = '{0}' OR host LIKE '%.{0}') AND starts_with(path, '/{1}')".format(*r.split("/", 1))
     pick = lambda i: "CASE " + " ".join(f"WHEN {fits(r[0])} THEN '{r[i]}'" for r in sorted(URL_RULES, key=lambda r: -len(r[0]))) + " END"
     return f"""
-        WITH h AS (SELECT row_number() OVER () AS n, page_id, {folded} AS s,
+        WITH h AS (SELECT row_number() OVER () AS n, page_id, url, {folded} AS s,
               translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{u.UPPER}', '{u.LETTERS}') AS host,
               regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
         r AS (SELECT *, {pick(0)} AS rule, {pick(1)} AS ruled FROM h),
+        t AS (SELECT n, ruled, md5(coalesce(url, ''))[1] < '4' AS held FROM r WHERE ruled IS NOT NULL),
         c AS (SELECT n, [{u.START}, {u.START}] || list_transform(range(1, length(s) + 1),
               lambda i: CASE WHEN instr('{u.SYMBOLS}', substr(s, i, 1)) > 0 THEN instr('{u.SYMBOLS}', substr(s, i, 1)) - 1 ELSE {u.OTHER} END) AS c FROM r),
         g AS (SELECT n, c[i] AS x, c[i + 1] AS y, c[i + 2] AS z FROM c, unnest(range(1, len(c) - 1)) AS t(i)),
-        l AS (SELECT ruled AS k, x, y, z, count(*) AS m FROM g JOIN r USING (n) WHERE ruled IS NOT NULL GROUP BY ALL),
+        l AS (SELECT ruled AS k, x, y, z, count(*) AS m FROM g JOIN t USING (n) WHERE NOT held GROUP BY ALL),
         n0 AS (SELECT k, z, sum(m) AS m FROM l GROUP BY ALL), t0 AS (SELECT k, sum(m) AS t, count(*) AS d FROM n0 GROUP BY ALL),
         n1 AS (SELECT k, y, z, sum(m) AS m FROM l GROUP BY ALL), t1 AS (SELECT k, y, sum(m) AS t, count(*) AS d FROM n1 GROUP BY ALL),
         t2 AS (SELECT k, x, y, sum(m) AS t, count(*) AS d FROM l GROUP BY ALL),
@@ -112,10 +113,10 @@ def _url_sql() -> str:
         w AS (SELECT x, y, z, round((max(ln(p)) FILTER (k = 'allow') - max(ln(p)) FILTER (k = 'block')) * {unit})::BIGINT AS w FROM p2 GROUP BY ALL),
         sc AS (SELECT n, sum(w)::BIGINT / count(*) AS score FROM g LEFT JOIN w USING (x, y, z) GROUP BY 1),
         s AS (SELECT r.*, coalesce(score, 0) AS score FROM r LEFT JOIN sc USING (n)),
-        b AS (SELECT greatest(0, least({u.BINS - 1}, floor((score + {4 * unit}) / {width})))::INT AS bin, ruled FROM s WHERE ruled IS NOT NULL),
+        b AS (SELECT greatest(0, least({u.BINS - 1}, floor((score + {4 * unit}) / {width})))::INT AS bin, t.ruled FROM s JOIN t USING (n) WHERE held),
         e AS (SELECT i, (1 - (SELECT count(*) FROM b WHERE ruled = 'allow' AND bin <= i) / (SELECT count(*) FROM b WHERE ruled = 'allow'))
               + (SELECT count(*) FROM b WHERE ruled = 'block' AND bin <= i) / (SELECT count(*) FROM b WHERE ruled = 'block') AS v FROM range({u.BINS}) t(i)),
-        th AS (SELECT coalesce((SELECT (i + 1) * {width} - {4 * unit} FROM e WHERE v IS NOT NULL ORDER BY round(v, 12) DESC, i LIMIT 1), 0) AS cutoff)
+        th AS (SELECT coalesce((SELECT (i + 1) * {width} - {4 * unit} FROM e WHERE isfinite(v) ORDER BY round(v, 12) DESC, i LIMIT 1), 0) AS cutoff)
         SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN score >= cutoff THEN 'allow' ELSE 'block' END) AS verdict, score / {unit} AS score
         FROM s CROSS JOIN th"""
 

@@ -2,14 +2,16 @@
 
 Two smoothed variable-order Markov models (orders 0 to 2, Witten-Bell interpolation: the longer
 context counts for more the better it is known) are counted from URLs that the rules accept or
-reject. A URL's score is the difference of its log-likelihoods under them, divided by its length,
-and the threshold is calibrated on the same labelled URLs, at the best balanced accuracy. Counts
-cover all labelled rows; they are at most ALPHABET ** 3 by class, so the finished model
-is a literal of bounded size.
+reject. A URL's score is the difference of its log-likelihoods under them, divided by its length.
+About one labelled URL in four (by a hash of it, so equal ones stay together) is held out of the counts, and the threshold is
+calibrated on these, at the best balanced accuracy. Counts cover all other labelled rows; they are at most
+ALPHABET ** 3 by class, so the finished model is a literal of bounded size.
 
 Defined cases: a null URL, or one without ``://``, has empty host and path, no rule, and a verdict by
-its characters (a null one: of the empty string, whose score is 0); with only one labelled class, or none, every
-score is 0 and the threshold is 0; ties go to ``allow``; repeated rows each get a row; other columns are dropped.
+its characters (a null one: of the empty string, whose score is 0); one with a host alone fits no rule, as its path doesn't begin with
+``/``; with only one labelled class to learn from, or none, every score is 0, and with only one held out, or none, the threshold
+is 0; ties go to ``allow``; a very long URL is scored whole; repeated rows each get a row; an empty table gives an empty result; columns
+that clash with the added ones, and all others, are dropped.
 """
 
 from __future__ import annotations
@@ -140,15 +142,20 @@ def calibrate(scored: DataFrame, label_col: str = "verdict", score_col: str = "s
     return at
 
 
+def held_out(url: Column) -> Column:
+    """One URL in four, by the first digit of its md5."""
+    return F.substring(F.md5(F.coalesce(url, F.lit(""))), 1, 1) < "4"
+
+
 def judge(df: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per input row: id, host, path, rule, verdict, score."""
     url = F.col(url_col).cast("string")
     base = df.select(F.col(id_col), url.alias("_url"), host_of(url).alias("host"), path_of(url).alias("path"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     ruled = base.select("*", name.alias("rule"), verdict.alias("verdict"))
-    weights = fit(ruled, "_url")
+    weights = fit(ruled.filter(~held_out(F.col("_url"))), "_url")
     scored = ruled.withColumn("score", score(F.col("_url"), weights))
-    threshold = calibrate(scored)
+    threshold = calibrate(scored.filter(held_out(F.col("_url"))))
     by_model = F.when(F.col("score") >= threshold, "allow").otherwise("block")
     return scored.select(
         id_col, "host", "path", "rule", F.coalesce("verdict", by_model).alias("verdict"), (F.col("score") / UNIT).alias("score")

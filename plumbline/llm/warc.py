@@ -6,10 +6,13 @@ SHA-256) and ``records`` (the exact header block of every record, with the diges
 each record: header block, payload, and the fields parsed from the header block.
 ``export_warc`` writes the reconstructed records as gzipped WARC 1.1 text files.
 
+Digests are verified twice: as the archive is written, payloads of one digest must agree in length and in a second, 64-bit hash (their
+bytes are not compared one by one); as it is read, every stored payload must hash to its digest.
+
 Defined cases: a null payload is empty; payloads under ``min_revisit`` bytes are all responses;
 where the smallest id of equal payloads repeats, all rows that carry it are responses; control
 characters and spaces in a URL are percent-encoded in its header, a null URL has an empty one; an
-empty table gives empty tables; other columns of the input are not archived.
+empty table gives empty tables; a very long payload is one row; a record whose payload is missing fails the read; other columns of the input are not archived.
 """
 
 from __future__ import annotations
@@ -101,7 +104,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """Every record again: id, header, payload, record_type, refers_to, payload_bytes, payload_digest.
 
     ``payload`` is the full one for revisits too, found through the digest in the header block.
-    Stored bytes that don't hash to their digest fail the read.
+    Stored bytes that don't hash to their digest, and records without stored bytes, fail the read.
     """
     records = spark.read.parquet(f"{path}/records")
     stored = spark.read.parquet(f"{path}/payloads")
@@ -119,7 +122,8 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
         F.nullif(F.regexp_extract(field("WARC-Refers-To"), "<urn:record:(.*)>", 1), F.lit("")).alias("refers_to"),
         F.replace(field("WARC-Payload-Digest"), F.lit("sha256:"), F.lit("")).alias("payload_digest"),
     )
-    return parsed.join(stored, "payload_digest", "left")
+    joined = parsed.join(stored, "payload_digest", "left")
+    return joined.withColumn("payload", F.coalesce("payload", F.raise_error("a record's payload is missing").cast("binary")))
 
 
 def export_warc(records: DataFrame, path: str) -> None:
