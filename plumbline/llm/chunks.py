@@ -8,6 +8,7 @@ from it; they are those of the whole text. Memory is bounded by BLOCK_CHARS of t
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import re
 import unicodedata
@@ -27,6 +28,18 @@ WORDS = re.compile(rf"[^{WS}]+")
 #: Letters and digits in every version of Unicode that stay such in lower case.
 ALNUM = re.compile("[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]")
 MARKS = ".,;:!?"
+# How tokenizer files write the forms whose chunks are known.
+WORD_FORM = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+BYTE_FORM = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}}
 #: What Arrow takes for ASCII white space, and tokenizers don't.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 #: White space beyond ASCII, or nearly: runs that mix it with the above are not cut.
@@ -80,6 +93,13 @@ class Ragged:
         return self.flat[at], n
 
 
+def has_form(path: str, form: dict) -> bool:
+    """Whether a tokenizer file normalises and parts texts in the given form."""
+    with open(path, encoding="utf-8") as f:
+        known = json.load(f)
+    return all(known.get(k) == v for k, v in form.items())
+
+
 Encoded = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
@@ -197,6 +217,17 @@ class WordEncoder(Cache):
         yield from np.split(ids, np.append(0, np.cumsum(n))[split.offsets.to_numpy()[1:-1]])
 
 
+class WholeEncoder:
+    """Whole texts, one by one: for tokenizers of any form."""
+
+    def __init__(self, tok) -> None:
+        self.tok = tok
+
+    def documents(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        for t in texts:
+            yield np.array(self.tok.encode(t or "", add_special_tokens=False).ids, np.uint32)
+
+
 _IS_SPACE = np.isin(np.arange(256), [*b" \t\n\r\f\v"])
 
 

@@ -5,10 +5,12 @@ length, to the sequence of lowest estimated cost (``linear * n + quadratic * n *
 as attention stays within a piece) that has room; a rest that fits nowhere whole is cut at the sequence of lowest
 cost that has any room. Packing runs in groups of about ``group_tokens`` ids, where the number of sequences is exact:
 as many full ones as the group's ids allow, and what remains in sequences of powers of two, which need no padding.
-Groups follow the rows of a task, so nothing is shuffled, and a repeated task makes the same pieces.
+Groups follow the rows of a task, so nothing is shuffled, and a repeated task makes the same pieces; which documents share a
+sequence, and sequence ids, depend on how the input is partitioned.
 
-Defined cases: a null text is empty (its document is the end id alone); repeated rows are packed as
-documents of their own; extra columns are dropped; an empty table gives no pieces.
+Defined cases: a null text is empty (its document is the end id alone); a null id's document is packed like any other; repeated rows are
+packed as documents of their own; a very long text fills whole sequences by itself, and its rest is packed; columns that clash with
+the results, and all others, are dropped; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -24,18 +26,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from plumbline.llm.batches import sliced
-from plumbline.llm.chunks import WordEncoder, encode_chunks
+from plumbline.llm.chunks import WORD_FORM, WholeEncoder, WordEncoder, encode_chunks, has_form
 
 #: (document, start in it, length, sequence, offset there)
 Piece = tuple[int, int, int, int, int]
 
 
 @functools.cache
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str) -> WordEncoder | WholeEncoder:
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
 
+    if not has_form(path, WORD_FORM):
+        return WholeEncoder(tok)
     return WordEncoder(lambda chunks: encode_chunks(tok, chunks, offsets=False))
 
 

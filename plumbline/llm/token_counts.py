@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.batches import sliced
-from plumbline.llm.chunks import SpacedEncoder, encode_chunks
+from plumbline.llm.chunks import BYTE_FORM, SpacedEncoder, encode_chunks, has_form
 
 
 @functools.cache
@@ -34,7 +34,7 @@ def encoder(path: str) -> SpacedEncoder:
     tok = Tokenizer.from_file(path)
     tok.encode_special_tokens = True
 
-    return SpacedEncoder(lambda chunks: encode_chunks(tok, chunks, offsets=True))
+    return SpacedEncoder(lambda chunks: encode_chunks(tok, chunks, offsets=True), cut=has_form(path, BYTE_FORM))
 
 
 COLUMNS = ("section", "start", "end", "n_tokens")

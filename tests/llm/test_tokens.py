@@ -183,6 +183,21 @@ def test_packing_round_trip(spark):
     assert packing.pack_documents(df.limit(0), P.path("word_bpe_49k.json")).count() == 0
 
 
+def test_packing_by_a_tokenizer_of_another_form(spark):
+    """Case counts for it, so its texts may not be lower-cased or parted as those of the usual one."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = ["Some Text, HERE.", None, " \n x"]
+    rows = packing.pack_documents(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), P.path("byte_bpe_50k.json")).collect()
+    check_pieces(rows, {i: tok.encode(t or "", add_special_tokens=False).ids + [2] for i, t in enumerate(texts)})
+
+
+def test_packing_null_ids(spark):
+    rows = packing.pack_documents(spark.createDataFrame([(None, "a b"), (None, None)], "doc_id long, text string"), P.path("word_bpe_49k.json")).collect()
+    assert {r["doc_id"] for r in rows} == {None} and sum(r["length"] for r in rows) == 4
+
+
 def test_pack_balances_cost():
     lengths = [random.randint(1, 1500) for _ in range(400)]
     cost, size = {}, {}
