@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from plumbline.operators.prefix import sums_before
 
@@ -76,12 +76,93 @@ def rouge1_recall(reference: Column, generated: Column) -> Column:
 
 
 def lcs(a: list, b: list) -> int:
-    row = [0] * (len(b) + 1)
+    """Length of the longest common subsequence, a row of the table as the bits of one number."""
+    places: dict = {}
+    for j, y in enumerate(b):
+        places[y] = places.get(y, 0) | 1 << j
+    row = full = (1 << len(b)) - 1
     for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+        hit = row & places.get(x, 0)
+        row = (row + hit | row - hit) & full
+    return len(b) - row.bit_count()
+
+
+def _measure(stem: str) -> int:
+    """How often a run of vowels is followed by one of consonants."""
+    kinds = ""
+    for c in stem:
+        vowel = c in "aeiou" or (c == "y" and kinds[-1:] == "c")
+        kinds += "v" if vowel else "c"
+    return kinds.count("vc")
+
+
+def _ends_short(s: str) -> bool:
+    """Consonant, vowel, consonant other than w, x, y."""
+    shape = "".join("v" if c in "aeiou" or (c == "y" and i and s[i - 1] not in "aeiou") else "c" for i, c in enumerate(s))
+    return shape[-3:] == "cvc" and s[-1] not in "wxy"
+
+
+def _has_vowel(s: str) -> bool:
+    return any(c in "aeiou" or (c == "y" and i) for i, c in enumerate(s))
+
+
+# Fixed values of Porter's published stemmer: endings and what takes their place, by step.
+STEP_2 = {
+    "ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "bli": "ble", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous",
+    "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble", "logi": "log",
+}
+STEP_3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
+STEP_4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
+
+
+def _longest(w: str, ends) -> str | None:
+    return max((e for e in ends if w.endswith(e)), key=len, default=None)
+
+
+def stem(w: str) -> str:
+    """Porter's stem of a lower-case English word; words of up to three letters stay, as overlap scores have it."""
+    if len(w) <= 3:
+        return w
+    if w.endswith("s"):
+        w = w[:-2] if w.endswith(("sses", "ies")) else w if w.endswith("ss") else w[:-1]
+    if w.endswith("eed"):
+        w = w[:-1] if _measure(w[:-3]) else w
+    elif (e := _longest(w, ("ed", "ing"))) and _has_vowel(w[: -len(e)]):
+        w = w[: -len(e)]
+        if w.endswith(("at", "bl", "iz")):
+            w += "e"
+        elif len(w) > 1 and w[-1] == w[-2] and w[-1] not in "aeioulsz":
+            w = w[:-1]
+        elif _measure(w) == 1 and _ends_short(w):
+            w += "e"
+    if w.endswith("y") and _has_vowel(w[:-1]):
+        w = w[:-1] + "i"
+    for table in (STEP_2, STEP_3):
+        if (e := _longest(w, table)) and _measure(w[: -len(e)]):
+            w = w[: -len(e)] + table[e]
+    if (e := _longest(w, STEP_4)) and _measure(w[: -len(e)]) > 1 and (e != "ion" or w[-4:-3] in ("s", "t")):
+        w = w[: -len(e)]
+    if w.endswith("e") and (_measure(w[:-1]) > 1 or (_measure(w[:-1]) == 1 and not _ends_short(w[:-1]))):
+        w = w[:-1]
+    return w[:-1] if w.endswith("ll") and _measure(w) > 1 else w
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def stems(words: pd.Series) -> pd.Series:
+    """Word arrays stemmed; each distinct word of a batch once."""
+    known: dict[str, str] = {}
+    return words.map(lambda ws: None if ws is None else [known[w] if w in known else known.setdefault(w, stem(w)) for w in ws])
+
+
+def stopped(ids: Column, prompt: Column, stop: Column) -> Column:
+    """Whether a sequence ends generation: the text of its last tokens, two more than the stop sequence has, holds that.
+
+    ``ids`` and ``stop`` are arrays of token texts, ``prompt`` the number of tokens given; what was given is never looked at.
+    """
+    own = F.slice(ids, prompt + 1, F.greatest(F.size(ids) - prompt, F.lit(0)))
+    back = F.least(F.size(own), F.size(stop) + 2)
+    tail = F.slice(own, F.size(own) - back + 1, back)
+    return (F.size(own) > 0) & F.contains(F.array_join(tail, ""), F.array_join(stop, ""))
 
 
 @F.pandas_udf(StructType([StructField("recall", DoubleType()), StructField("f1", DoubleType())]))

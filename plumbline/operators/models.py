@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 Fit = Callable[[np.ndarray, np.ndarray], Callable[[np.ndarray], np.ndarray]]
 
@@ -122,6 +123,11 @@ def boosting(trees: int = 200, depth: int = 3, rate: float = 0.05, seed: int = 0
     return fit
 
 
+def feature_columns(df: DataFrame, exclude: tuple[str, ...] = ()) -> list[str]:
+    """The numeric columns in order, but for ids and labels."""
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType) and f.name not in exclude]
+
+
 def zscore(df: DataFrame, cols: list[str], stats: DataFrame | None = None) -> DataFrame:
     """Columns minus mean over (population deviation + 1e-12), of ``df`` itself or of a training table's ``zstats``."""
     s = zstats(df, cols) if stats is None else stats

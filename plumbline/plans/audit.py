@@ -130,10 +130,52 @@ dg AS (SELECT forget_cluster, avg(var) AS vm, max(var) AS vx, min(var) / greates
 nm AS (SELECT forget_cluster, avg(sqrt(list_inner_product(v, v))) AS nm, stddev_pop(sqrt(list_inner_product(v, v))) AS ns FROM fs GROUP BY 1),
 """ + f"""pr AS (SELECT a.forget_cluster, {cos_sql('a.v', 'b.v')} AS cos, list_distance(a.v, b.v) AS dist FROM fs a JOIN fs b ON a.forget_cluster = b.forget_cluster AND a.text_id < b.text_id),
 pg AS (SELECT forget_cluster, avg(cos) AS cm, stddev_pop(cos) AS cs, quantile_cont(cos, 0.9) AS cq, avg(dist) AS em, quantile_cont(dist, 0.95) AS r95 FROM pr GROUP BY 1)"""
-SETS = TRIPLETS + """,
-tv AS (SELECT t.*, CAST(e.embedding AS DOUBLE[]) AS v FROM trip t JOIN embeddings e ON e.vec_id = t.text_id),
-fs AS (SELECT triplet AS forget_cluster, text_id, v FROM tv WHERE split = 'train'),
-""" + DIMS
+VECTORS = """tv AS (SELECT t.*, CAST(e.embedding AS DOUBLE[]) AS v FROM trip t JOIN embeddings e ON e.vec_id = t.text_id),
+fs AS (SELECT triplet AS forget_cluster, text_id, v FROM tv WHERE split = 'train')"""
+SETS = f"{TRIPLETS},\n{VECTORS},\n{DIMS}"
+COVERAGE = """rt AS (SELECT triplet AS retain_cluster, split, sample_idx, v FROM tv WHERE split <> 'train'),
+nn AS (SELECT forget_cluster, retain_cluster, split, sample_idx, min(list_distance(rt.v, fs.v)) AS d FROM rt JOIN fs ON forget_cluster <> retain_cluster GROUP BY 1, 2, 3, 4),
+cv AS (SELECT forget_cluster, retain_cluster, max(r95) AS r, avg((d <= r95)::INT) AS f FROM nn JOIN pg USING (forget_cluster) GROUP BY 1, 2)"""
+#: Ridge regression for each fold: moments of the rows outside it, and Gauss-Jordan elimination of the normal equations.
+FOLDS = """t AS (SELECT *, {{fold}} AS fold, {x} AS x FROM tz),
+fo AS (SELECT DISTINCT fold FROM t WHERE {{tested}}),
+ex AS (SELECT fo.fold, t.x, y, count(*) OVER (PARTITION BY fo.fold) AS n FROM fo JOIN t ON t.fold <> fo.fold WHERE {{trained}}),
+dm2 AS (SELECT fold, d, avg(x[d]) AS m, avg(y) AS my FROM ex CROSS JOIN range(1, {k} + 1) r(d) GROUP BY 1, 2),
+me AS (SELECT fold, list(m ORDER BY d) AS m, max(my) AS my FROM dm2 GROUP BY 1),
+ce AS (SELECT ex.fold, list_transform(range(1, {k} + 1), lambda d: x[d] - m[d]) AS c, y - my AS e FROM ex JOIN me USING (fold)),
+mo AS (SELECT fold, i, j, CASE WHEN j <= {k} THEN sum(c[i] * c[j]) + (i = j)::INT ELSE sum(c[i] * e) END AS v
+  FROM ce CROSS JOIN range(1, {k} + 1) a(i) CROSS JOIN range(1, {k} + 2) b(j) GROUP BY 1, 2, 3),
+ro AS (SELECT fold, i, list(v ORDER BY j) AS r FROM mo GROUP BY 1, 2), ma AS (SELECT fold, 1 AS k, list(r ORDER BY i) AS m FROM ro GROUP BY 1),
+gj AS (SELECT fold, k, m FROM ma UNION ALL SELECT fold, k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda v: v / m[k][k])
+  ELSE list_transform(r, lambda v, j: v - r[k] * m[k][j] / m[k][k]) END) FROM gj WHERE k <= {k}),
+so AS (SELECT fold, list_transform(m, lambda r: r[{k} + 1]) AS w FROM gj WHERE k = {k} + 1),
+pd AS (SELECT t.forget_cluster AS key, y, my + list_sum(list_transform(range(1, {k} + 1), lambda d: (x[d] - m[d]) * w[d])) AS p FROM t JOIN me USING (fold) JOIN so USING (fold) WHERE {{tested}})
+SELECT key, round(y, 6) AS y, round(p, 6) AS p FROM pd"""
+_SHORT = ("vm", "vx", "iso", "cn", "nm", "ns", "cm", "cs", "cq", "em", "em / greatest(cn, 1e-12)")
+_RAW = ", ".join(f"{e} AS f{i}" for i, e in enumerate(_SHORT))
+_Z = "[" + ", ".join(f"(f{i} - avg(f{i}) OVER ({{w}})) / (stddev_pop(f{i}) OVER ({{w}}) + 1e-12)" for i in range(len(_SHORT))) + "]"
+
+
+def ridge_sql(fold: str, tested: str = "true", trained: str = "true", scale: str | None = None) -> str:
+    """Predictions of each fold by ridge regression on all others; ``scale`` is the rows whose statistics scale all, if not all do."""
+    if scale:
+        z = "[" + ", ".join(f"(f{i} - (SELECT avg(f{i}) FROM tz WHERE {scale})) / ((SELECT stddev_pop(f{i}) FROM tz WHERE {scale}) + 1e-12)" for i in range(len(_SHORT))) + "]"
+    else:
+        z = _Z.format(w="")
+    folds = FOLDS.format(x=z, k=len(_SHORT)).format(fold=fold, tested=tested, trained=trained)
+    return f"""WITH RECURSIVE {LONG}, {VECTORS}, {DIMS}, tz AS (SELECT forget_cluster, {_RAW}, y FROM dg JOIN nm USING (forget_cluster) JOIN pg USING (forget_cluster)
+        JOIN (SELECT model_triplet AS forget_cluster, exp(avg(log_ppl_ratio)) AS y FROM long WHERE layer = 'L1' GROUP BY 1) USING (forget_cluster)), {folds}"""
+
+
+#: The exact two-sided p-value by lattice paths, a list of probabilities by step.
+KS_SQL = """WITH RECURSIVE h AS (SELECT n_chars AS x, quality AS l FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND n_chars IS NOT NULL),
+s AS (SELECT count(*) FILTER (l = 0) AS n0, count(*) FILTER (l = 1) AS n1 FROM h),
+c AS (SELECT x, sum(count(*) FILTER (l = 0)) OVER (ORDER BY x) / n0 - sum(count(*) FILTER (l = 1)) OVER (ORDER BY x) / n1 AS g FROM h CROSS JOIN s GROUP BY x, n0, n1),
+d AS (SELECT n0, n1, max(abs(g)) AS d, max(abs(g)) - 1e-9 AS lim FROM c CROSS JOIN s GROUP BY 1, 2),
+p AS (SELECT 0::BIGINT AS i, n0, n1, d, lim, list_transform(range(n1 + 1), lambda k: CASE WHEN k / n1 < lim THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS p FROM d
+  UNION ALL SELECT i + 1, n0, n1, d, lim, list_reduce(range(n1 + 1), lambda a, k: list_append(a, CASE WHEN abs((i + 1) / n0 - k / n1) < lim
+    THEN p[k + 1] * (i + 1) / (i + 1 + k) + (CASE WHEN k > 0 THEN a[k] ELSE 0.0 END) * k / (i + 1 + k) ELSE 0.0::DOUBLE END), []::DOUBLE[]) FROM p WHERE i < n0)
+SELECT n0, n1, round(d, 6) AS d, round(1 - p[n1 + 1], 6) AS p_value FROM p WHERE i = n0"""
 TOPK = 25
 QUERIES = {
     "forget_geometry": (
@@ -238,14 +280,15 @@ QUERIES = {
         """WITH h AS (SELECT n_chars::DOUBLE AS score, quality AS label FROM documents JOIN labels USING (doc_id)), r AS (SELECT *, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS r FROM h)
         SELECT round((sum(r) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2) / (count(*) FILTER (label = 1) * count(*) FILTER (label = 0)), 6) AS auc FROM r""",
     ),
-    "ks_test": (ks, None),
-    "ridge_loo": (lambda s, sf: scored(models.ridge(), s, sf), None),
+    "ks_test": (ks, KS_SQL),
+    "ridge_loo": (lambda s, sf: scored(models.ridge(), s, sf), ridge_sql("forget_cluster")),
+    "ridge_logo": (lambda s, sf: logo(models.ridge(), s, sf), ridge_sql("right(forget_cluster, 1)")),
     "lasso_loo": (lambda s, sf: scored(models.lasso(), s, sf), None),
     "rf_loo": (lambda s, sf: scored(models.forest(trees=50), s, sf), None),
     "gbt_logo": (lambda s, sf: logo(models.boosting(trees=60), s, sf), None),
     "rf_logo": (lambda s, sf: logo(models.forest(trees=50, leaf=3, max_features=0.5, seed=42), s, sf), None),
     "model_ablation": (ablation, None),
-    "model_transfer": (transfer, None),
+    "model_transfer": (transfer, ridge_sql("right(forget_cluster, 1)::INT % 2", "fold = 0", "t.fold = 1", "right(forget_cluster, 1)::INT % 2 = 1")),
     "feature_importance": (importance, None),
     "pca": (pca, None),
     "hdbscan": (blobs, None),

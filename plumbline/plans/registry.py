@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.plans import audit, corpus, corruption, framework, views
+from plumbline.plans import audit, corpus, corruption, exchange, framework, views
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (corpus, corruption, audit, framework, views)
+_MODULES = (corpus, corruption, audit, framework, views, exchange)
 
 
 def queries() -> dict[str, Query]:

@@ -135,7 +135,11 @@ QUERIES = {
     ),
     "alternate_pairs": (alternates, "SELECT n_nationkey, 'yes' AS answer, 'no ' || n_name AS alternate, n_name AS question FROM nation"),
     "ground_truth_tails": (tails, f"SELECT doc_id, md5(trim(replace(text, substr(text, 1, 40), ''), {SPACES})) AS tail FROM documents"),
-    "half_precision": (half_norms, None),
+    "half_precision": (
+        half_norms,
+        """WITH x AS (SELECT s_suppkey, (s_acctbal / 10000)::FLOAT::DOUBLE AS x FROM supplier), e AS (SELECT *, CASE WHEN x = 0 THEN 0 ELSE pow(2, greatest(floor(log2(abs(x))), -14) - 10) END AS u FROM x)
+        SELECT s_suppkey, round(CASE WHEN x = 0 THEN 0.0 ELSE round_even(x / u, 0) * u END, 4) AS x FROM e""",
+    ),
     "triplet_texts": (
         triplet_texts,
         f"WITH {TRIPLETS} SELECT triplet, split, sample_idx, t.text_id, md5(text) AS digest, cluster_size FROM trip t JOIN documents ON doc_id = t.text_id JOIN (SELECT cluster_label, count(*) AS cluster_size FROM asg GROUP BY 1) USING (cluster_label)",
@@ -155,7 +159,13 @@ QUERIES = {
         f"""WITH {LONG}, p AS (SELECT layer, log_ppl_ratio AS y, (sum(log_ppl_ratio) OVER (PARTITION BY layer) - log_ppl_ratio) / (count(*) OVER (PARTITION BY layer) - 1) AS p FROM long WHERE layer <> 'L3_other')
         SELECT layer, round(avg(abs(y - p)), 6) AS mae, round(sqrt(avg((y - p) ** 2)), 6) AS rmse FROM p GROUP BY 1""",
     ),
-    "coverage_vs_spillover": (coverage_vs_spillover, None),
+    "coverage_vs_spillover": (
+        coverage_vs_spillover,
+        f"""WITH {LONG}, {audit.VECTORS}, {audit.DIMS}, {audit.COVERAGE}, p AS (SELECT model_triplet AS forget_cluster, round(exp(avg(log_ppl_ratio)), 6) AS p FROM long WHERE layer = 'L3' GROUP BY 1),
+        j AS (SELECT forget_cluster, round(avg(f), 6) AS y, max(p) AS p FROM cv JOIN p USING (forget_cluster) GROUP BY 1),
+        r AS (SELECT y, p, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS ry, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2 AS rp FROM j)
+        SELECT round(corr(ry, rp), 6) AS spearman, round(corr(y, p), 6) AS pearson FROM r""",
+    ),
     "reference_logs": (references, "SELECT r_name AS metric, r_regionkey::DOUBLE AS agg_value, CASE WHEN r_regionkey > 1 THEN r_regionkey * 2::DOUBLE END AS reference FROM region"),
     "chat_template": (
         chats,

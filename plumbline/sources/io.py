@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -151,8 +153,28 @@ def read_if_exists(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_object(df: DataFrame, path: str) -> None:
-    """A one-row table as a JSON object."""
-    df.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    """A one-row table as an indented JSON object; characters beyond ASCII stay as they are."""
+    body = F.to_json(F.struct(*df.columns), {"pretty": "true", "ignoreNullFields": "false"})
+    df.coalesce(1).select(body.alias("value")).write.mode("overwrite").text(path)
+
+
+def read_object(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).option("multiLine", "true").option("mode", "FAILFAST").json(path)
+
+
+def read_shards(spark: SparkSession, path: str, name: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(file, name, dtype, shape, data) of the tensors in safetensors files whose name fulfils ``name``.
+
+    A file is an eight-byte length, so many bytes of JSON (name to type, shape and place), and the tensors' bytes.
+    """
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
+    little = F.concat(*(F.substring(F.col("content"), i, 1) for i in range(8, 0, -1)))
+    size = F.conv(F.hex(little), 16, 10).cast("int")
+    head = F.from_json(F.decode(F.expr("substring(content, 9, n)"), "UTF-8"), "map<string, struct<dtype: string, shape: array<bigint>, data_offsets: array<bigint>>>")
+    tensors = files.withColumn("n", size).select("file", "content", "n", F.explode(head).alias("name", "t")).filter("name != '__metadata__'")
+    kept = tensors.filter(name(F.col("name"))) if name else tensors
+    data = F.expr("substring(content, int(9 + n + t.data_offsets[0]), int(t.data_offsets[1] - t.data_offsets[0]))")
+    return kept.select("file", "name", "t.dtype", "t.shape", data.alias("data"))
 
 
 def append_log(df: DataFrame, path: str) -> None:
