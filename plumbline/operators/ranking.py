@@ -11,14 +11,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from plumbline.operators.prefix import sums_before
+from plumbline.session import stored
 
 
 def average_rank(x: str, *by: str) -> Column:
-    """Rank from 1 with ties averaged."""
+    """Rank from 1 with ties averaged, within groups."""
     w = Window.partitionBy(*by)
     return F.rank().over(w.orderBy(x)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, x)) - 1) / 2
 
 
+def ranked(df: DataFrame, x: str, out: str) -> DataFrame:
+    """``df`` with the average rank of ``x`` among all rows, from counts by distinct value and their running sums."""
+    points = df.groupBy(x).agg(F.count(F.lit(1)).alias("_k"))
+    place = sums_before(points, [x], _b=F.col("_k")).select(F.col(x).alias("_x"), (F.col("_b") + (F.col("_k") + 1) / 2).alias(out))
+    return df.join(place, F.col(x).eqNullSafe(F.col("_x"))).drop("_x")
+
+
 def pearson(x: str, y: str) -> Column:
     """Correlation as an aggregate; null where a side doesn't vary."""
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
@@ -26,36 +34,80 @@ def pearson(x: str, y: str) -> Column:
 
 def correlations(df: DataFrame, *by: str, y: str = "y", p: str = "p") -> DataFrame:
     """Spearman's rho and Pearson's r."""
-    ranked = df.withColumn("_ry", average_rank(y, *by)).withColumn("_rp", average_rank(p, *by))
-    return ranked.groupBy(*by).agg(pearson("_ry", "_rp").alias("spearman"), pearson(y, p).alias("pearson"))
-
-
-def pair_signs(df: DataFrame, *by: str, key: str = "key", y: str = "y", p: str = "p") -> DataFrame:
-    a = df.select(*by, F.col(key).alias("i"), F.col(y).alias("y1"), F.col(p).alias("p1"))
-    b = df.select(*by, F.col(key).alias("j"), F.col(y).alias("y2"), F.col(p).alias("p2"))
-    pairs = (a.join(b, list(by)) if by else a.crossJoin(b)).filter("i < j")
-    return pairs.select(*by, F.signum(F.col("y1") - F.col("y2")).alias("sy"), F.signum(F.col("p1") - F.col("p2")).alias("sp"))
-
-
-def kendall_concordance(df: DataFrame, *by: str, key: str = "key") -> DataFrame:
-    """Kendall's tau-b, and the share of pairs with a true difference whose predicted sign agrees. For evaluation sets of a few thousand rows."""
-    s = pair_signs(df, *by, key=key)
-    agg = s.groupBy(*by).agg(
-        F.sum(F.col("sy") * F.col("sp")).alias("c"), F.count_if(F.col("sy") != 0).alias("ny"), F.count_if(F.col("sp") != 0).alias("np"),
-        F.avg(F.when(F.col("sy") != 0, (F.col("sy") == F.col("sp")).cast("int"))).alias("concordance"),
-    )
-    return agg.select(*by, F.try_divide(F.col("c"), F.sqrt(F.col("ny").cast("double") * F.col("np"))).alias("kendall"), "concordance")
-
-
-def order_of(x: str, key: str, *by: str) -> Column:
-    """Place from 1 in descending order; ties by key."""
-    return F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(x), key))
+    if by:
+        both = df.withColumn("_ry", average_rank(y, *by)).withColumn("_rp", average_rank(p, *by))
+    else:
+        both = ranked(ranked(df, y, "_ry"), p, "_rp")
+    return both.groupBy(*by).agg(pearson("_ry", "_rp").alias("spearman"), pearson(y, p).alias("pearson"))
+
+
+def falls(x: np.ndarray) -> int:
+    """Pairs of which the later is smaller, by merging sorted runs of doubling length."""
+    x = np.unique(x, return_inverse=True)[1].astype(np.int64)
+    n, width, out = len(x), 1, 0
+    top = n + 1
+    while width < n:
+        run = np.arange(n) // (2 * width)
+        right = (np.arange(n) // width) % 2 == 1
+        left_keys = (run * top + x)[~right]  # sorted, as each half run is
+        after = np.searchsorted(left_keys, (run * top + x)[right], "right")
+        ends = np.searchsorted(left_keys, (run[right] + 1) * top)
+        out += int((ends - after).sum())
+        x = x[np.lexsort((x, run))]
+        width *= 2
+    return out
+
+
+def discordant(df: DataFrame, y: str, p: str, parts: int = 64) -> DataFrame:
+    """One row (d): pairs that ``y`` and ``p`` order in opposite ways; no pair is made.
+
+    Rows are dealt into ranges of (y, p) and, apart from that, into ranges of p. Pairs of one p range are counted there; pairs of several p ranges
+    and one (y, p) range there, by range number; pairs that differ in both from the counts of the grid, of at most parts ** 2 cells.
+    """
+    rows = stored(df.select(F.col(y).cast("double").alias("y"), F.col(p).cast("double").alias("p")).filter("y IS NOT NULL AND p IS NOT NULL"), "rank-rows")
+    by_p = stored(rows.repartitionByRange(parts, "p").withColumn("b", F.spark_partition_id()), "rank-by-p")
+    grid = stored(by_p.repartitionByRange(parts, "y", "p").withColumn("a", F.spark_partition_id()), "rank-grid")
+
+    def inside(order: list[str], x: str):
+        return lambda pdf: pd.DataFrame({"d": [falls(pdf.sort_values(order, kind="stable")[x].to_numpy())]})
+
+    in_p = grid.groupBy("b").applyInPandas(inside(["y", "p"], "p"), "d bigint")
+    in_y = grid.groupBy("a").applyInPandas(inside(["y", "p"], "b"), "d bigint")
+    cells = grid.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    before, after = cells.select("a", "b", "n"), cells.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("n").alias("n2"))
+    across = before.join(F.broadcast(after), (F.col("a") < F.col("a2")) & (F.col("b") > F.col("b2"))).select((F.col("n") * F.col("n2")).alias("d"))  # at most parts ** 2 rows
+    return in_p.unionByName(in_y).unionByName(across).agg(F.coalesce(F.sum("d"), F.lit(0)).alias("d"))
+
+
+def kendall_concordance(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
+    """Kendall's tau-b, and the share of pairs with a true difference whose predicted sign agrees.
+
+    Pairs are counted, not made: ties from counts by value, opposite ones by ``discordant``. Rows without a value count for nothing.
+    """
+    some = df.filter(F.col(y).isNotNull() & F.col(p).isNotNull())
+    pairs = F.sum(F.col("k") * (F.col("k") - 1) / 2)
+    tied = lambda *by: some.groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("k")).agg(F.coalesce(pairs, F.lit(0.0)).alias("t_" + "".join(by)))
+    n = some.agg(F.count(F.lit(1)).cast("double").alias("n"))
+    one = n
+    for other in (tied(y), tied(p), tied(y, p).toDF("t_both"), discordant(some, y, p)):
+        one = one.crossJoin(F.broadcast(other))  # one row each
+    whole = F.col("n") * (F.col("n") - 1) / 2
+    ny, np_ = whole - F.col(f"t_{y}"), whole - F.col(f"t_{p}")
+    differ = whole - F.col(f"t_{y}") - F.col(f"t_{p}") + F.col("t_both")  # in both
+    agree = differ - F.col("d")
+    return one.select(F.try_divide(agree - F.col("d"), F.sqrt(ny) * F.sqrt(np_)).alias("kendall"), F.try_divide(agree, ny).alias("concordance"))
+
+
+def first_k(df: DataFrame, x: str, key: str, k: int, out: str) -> DataFrame:
+    """The ``k`` rows of largest ``x`` (ties by key) with their place from 1: the tasks' own first rows meet, never all rows."""
+    top = df.orderBy(F.desc(x), key).limit(k)
+    return top.withColumn(out, F.row_number().over(Window.orderBy(F.desc(x), key)))
 
 
 def top_k(df: DataFrame, k: int, key: str = "key", y: str = "y", p: str = "p") -> DataFrame:
     """Hits among the top k, recall, what chance gives, and the lift over it."""
-    r = df.withColumn("_y", order_of(y, key)).withColumn("_p", order_of(p, key))
-    one = r.agg(F.count_if((F.col("_y") <= k) & (F.col("_p") <= k)).alias("hits"), F.count(F.lit(1)).alias("n"))
+    both = first_k(df, y, key, k, "_y").select(key).join(first_k(df, p, key, k, "_p").select(key), key)
+    one = both.agg(F.count(F.lit(1)).alias("hits")).crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("n"))))
     return one.select(F.lit(k).alias("k"), "hits", (F.col("hits") / k).alias("recall"), (k / F.col("n")).alias("random_recall"), (F.col("hits") / k / (k / F.col("n"))).alias("lift"))
 
 
@@ -66,11 +118,15 @@ def share_to_k(n: int, percent: float) -> int:
 
 def ndcg(df: DataFrame, k: int, key: str = "key", y: str = "y", p: str = "p") -> DataFrame:
     """NDCG at k with min-max relevance and gain 2 ** rel - 1; 1 where all values are equal."""
-    all_rows = Window.partitionBy()
-    lo, hi = F.min(y).over(all_rows), F.max(y).over(all_rows)
-    r = df.select(((F.col(y) - lo) / F.nullif(hi - lo, F.lit(0.0))).alias("rel"), order_of(y, key).alias("_y"), order_of(p, key).alias("_p"))
-    gain = lambda place: F.sum(F.when(F.col(place) <= k, (F.pow(F.lit(2.0), F.col("rel")) - 1) / F.log2(F.col(place) + 1)))
-    return r.agg(F.coalesce(F.try_divide(gain("_p"), gain("_y")), F.lit(1.0)).alias("ndcg"))
+    ends = df.agg(F.min(y).alias("_lo"), F.max(y).alias("_hi"))
+    rel = (F.col(y) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
+
+    def gain(x: str) -> DataFrame:
+        top = first_k(df, x, key, k, "_at").crossJoin(F.broadcast(ends))
+        return top.agg(F.sum((F.pow(F.lit(2.0), rel) - 1) / F.log2(F.col("_at") + 1)).alias(f"_{x}"))
+
+    both = gain(p).crossJoin(F.broadcast(gain(y).select(F.col(f"_{y}").alias("_best"))))
+    return both.select(F.coalesce(F.try_divide(F.col(f"_{p}"), F.col("_best")), F.lit(1.0)).alias("ndcg"))
 
 
 def regression_scores(df: DataFrame, *by: str, y: str = "y", p: str = "p") -> DataFrame:
@@ -151,7 +207,7 @@ def privleak(auc_value: Column, ref: Column, default: float = 0.5) -> Column:
 
 def draws(df: DataFrame, key: str, n_boot: int, seed: int = 0) -> DataFrame:
     """(b, slot, row columns): ``n`` draws with replacement for each of ``n_boot`` resamples, by hash."""
-    numbered = df.withColumn("_i", F.row_number().over(Window.orderBy(key)) - 1)
+    numbered = sums_before(df, [key], _i=F.lit(1)).withColumn("_i", F.col("_i").cast("int"))
     n = df.count()
     grid = df.sparkSession.range(n_boot * n).select((F.col("id") / n).cast("int").alias("b"), (F.col("id") % n).cast("int").alias("slot"))
     pick = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "b", "slot")), 1, 8), 16, 10).cast("bigint") % n

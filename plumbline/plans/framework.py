@@ -176,7 +176,8 @@ def masked(spark, sf):
 
 
 def padded(spark, sf):
-    p = prompts(spark, sf).withColumn("longest", F.max(F.size("a")).over(Window.partitionBy()))
+    p = prompts(spark, sf)
+    p = p.crossJoin(F.broadcast(p.agg(F.max(F.size("a")).alias("longest"))))
     right, left = S.pad(F.col("a"), F.col("longest"), 0), S.pad(F.col("a"), F.col("longest"), 0, left=True)
     total = lambda x: F.aggregate(x, F.lit(0), lambda s, y: s + y)
     return p.select("item_id", F.size(right).alias("n"), total(S.attention(right, 0)).alias("live"), F.get(left, F.lit(0)).alias("left_first"), F.get(right, F.size(right) - 1).alias("right_last"))

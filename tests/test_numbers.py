@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -213,3 +214,87 @@ def test_objectives_on_known_values(spark):
     s = table(spark, [(1, 2.0, 2.0, 4)], "idx int, nll double, ref_nll double, n int")
     assert objectives.npo(s, 0.5).first()[0] == pytest.approx(4 * math.log(2))
     assert objectives.dual_step(0.5, 1.0, 2.0, 1.0) == 0.0
+
+
+def test_falls_brute_force():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 3, 7, 64, 100):
+        x = rng.integers(0, max(1, n // 2) + 1, n)
+        assert ranking.falls(x) == sum(x[i] > x[j] for i in range(n) for j in range(i + 1, n))
+
+
+def test_kendall_and_ranks_brute_force(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(rng.integers(0, 40, 300), rng.integers(0, 40, 300), strict=True))]
+    rows += [(1000 + i, 5.0, float(i)) for i in range(100)] + [(2000 + i, float(i), 7.0) for i in range(100)]  # hot values
+    df = spark.createDataFrame(rows, "key int, y double, p double")
+    sy = sp = c = agree = 0
+    for i, (_, y1, p1) in enumerate(rows):
+        for _, y2, p2 in rows[i + 1 :]:
+            a, b = np.sign(y1 - y2), np.sign(p1 - p2)
+            sy, sp, c, agree = sy + abs(a), sp + abs(b), c + a * b, agree + (a != 0 and a == b)
+    got = ranking.kendall_concordance(df).first()
+    assert got["kendall"] == pytest.approx(c / math.sqrt(sy * sp)) and got["concordance"] == pytest.approx(agree / sy)
+    want = pd.DataFrame(rows, columns=["key", "y", "p"])
+    r = ranking.correlations(df).first()
+    assert r["spearman"] == pytest.approx(want["y"].rank().corr(want["p"].rank())) and r["pearson"] == pytest.approx(want["y"].corr(want["p"]))
+    one_task = "Exchange SinglePartition"
+    plan = ranking.discordant(df, "y", "p")._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and plan.count(one_task) <= 2  # sums of partial sums only
+
+
+def test_stems():
+    pairs = "caresses caress ponies poni cats cat agreed agre plastered plaster motoring motor hopping hop falling fall filing file happy happi relational relat rational ration conditional condit generalizations gener oscillators oscil sky sky sing sing controlling control adoption adopt".split()
+    for w, s in zip(pairs[::2], pairs[1::2], strict=True):
+        assert S.stem(w) == s, w
+
+
+def test_stemmed_overlap(spark):
+    df = spark.createDataFrame([(["relations", "the", "cats"], ["relational", "cat", "x"])], "r array<string>, g array<string>")
+    s = df.select(S.stems("r").alias("r"), S.stems("g").alias("g"))
+    assert s.select(S.rouge1_recall(F.col("r"), F.col("g"))).first()[0] == pytest.approx(2 / 3)
+    assert df.select(S.rouge1_recall(F.col("r"), F.col("g"))).first()[0] == 0
+
+
+def test_lcs_against_table():
+    rng = np.random.default_rng(5)
+    for _ in range(100):
+        a, b = (rng.integers(0, 5, rng.integers(0, 30)).tolist() for _ in "ab")
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        assert S.lcs(a, b) == row[-1]
+
+
+def test_checked_joins(spark):
+    from plumbline.operators import views
+
+    left = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    right = spark.createDataFrame([(1, "x", 5), (2, "y", 6), (3, "z", 7)], "k int, v string, w int")
+    got = views.checked_join(left, right, ["k"], ("_l", "_r")).orderBy("k").collect()
+    assert [tuple(r) for r in got] == [(1, "a", "x", 5), (2, "b", "y", 6)]
+    with pytest.raises(Exception, match="missing"):
+        views.checked_join(left, right.filter("k = 1"), ["k"]).collect()
+    with pytest.raises(Exception, match="repeats"):
+        views.checked_join(left, right.unionByName(right), ["k"]).collect()
+    todo = spark.createDataFrame([(i, f"t{i}") for i in range(5)], "at int, text string")
+    assert sorted(r["at"] for r in views.resume_after(todo, todo.filter("at < 2"), "at", "text").collect()) == [2, 3, 4]
+    with pytest.raises(Exception, match="another text"):
+        views.resume_after(todo, todo.filter("at < 2").withColumn("text", F.lit("other")), "at", "text").collect()
+
+
+def test_shards(spark, tmp_path):
+    import json
+    import struct
+
+    head = {"__metadata__": {"format": "pt"}, "a.q_proj": {"dtype": "F32", "shape": [2], "data_offsets": [0, 8]}, "b.norm": {"dtype": "F16", "shape": [1], "data_offsets": [8, 10]}}
+    body = json.dumps(head).encode()
+    (tmp_path / "model.safetensors").write_bytes(struct.pack("<Q", len(body)) + body + struct.pack("<ff", 1.5, -2.0) + b"\x00\x3c")
+    from plumbline.operators import views
+    from plumbline.sources import io
+
+    rows = {r["name"]: r for r in io.read_shards(spark, str(tmp_path)).collect()}
+    assert set(rows) == {"a.q_proj", "b.norm"} and struct.unpack("<ff", rows["a.q_proj"]["data"]) == (1.5, -2.0) and rows["b.norm"]["shape"] == [1]
+    assert [r["name"] for r in io.read_shards(spark, str(tmp_path), views.is_weight).collect()] == ["a.q_proj"]
