@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.prefix import sums_before
+from plumbline.session import stored
+
 
 def tokens(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, w, n): lower-case ASCII words of each text with their counts."""
@@ -21,29 +24,49 @@ def unigram(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return c, c.agg(F.sum("c").alias("N"), F.count(F.lit(1)).alias("V"))
 
 
+#: A word is common from this share of the models on, and is then computed in the grid.
+COMMON = 1 / 8
+#: Numbers of all models together up to which they are broadcast.
+BROADCAST = 1 << 23
+
+
 def score_pairs(triplets: DataFrame, texts: DataFrame, alpha: float = 1.0) -> DataFrame:
     """Long table of losses: every model (its train split removed) on every sample of every triplet.
 
-    The unlearned loss is the base loss plus corrections for the words that forget set and sample share, so
-    the join is on words and only shared ones meet.
+    The unlearned loss is the base loss plus corrections for the words that forget set and sample share. Words in few forget sets
+    are joined, so only shared ones meet. Common ones would be hot keys with a row for nearly every model and sample, which
+    is the grid itself: each model has an array of their corrections, and the grid's rows look up their sample's words in it.
     """
-    counts = tokens(texts, "text_id", "text")
+    counts = stored(tokens(texts, "text_id", "text"), "score-counts")
     vocab, size = unigram(counts)
     used = triplets.select("text_id").distinct()
     own = counts.join(used, "text_id", "left_semi").join(vocab, "w")
     key = ["triplet", "split", "sample_idx"]
-    sample = triplets.select(*key, "text_id").join(own, "text_id")
+    sample = stored(triplets.select(*key, "text_id").join(own, "text_id"), "score-samples")
     base = sample.groupBy(*key).agg(F.sum("n").alias("n_tokens"), F.sum(F.col("n") * -F.log(F.col("c") + alpha)).alias("b"))
     forget = sample.filter("split = 'train'").groupBy(F.col("triplet").alias("model_triplet"), "w").agg(F.sum("n").alias("cm"), F.max("c").alias("cw"))
+    gain = F.log(F.col("cw") + alpha) - F.log(F.col("cw") - F.col("cm") + alpha)
+    forget = stored(forget.withColumn("g", gain), "score-forget")
     removed = forget.groupBy("model_triplet").agg(F.sum("cm").alias("Nm"))
-    shared = (
-        sample.select(*key, "w", "n")
-        .join(forget, "w")
-        .groupBy("model_triplet", *key)
-        .agg(F.sum(F.col("n") * (F.log(F.col("cw") + alpha) - F.log(F.col("cw") - F.col("cm") + alpha))).alias("d"))
-    )
-    grid = base.crossJoin(F.broadcast(removed)).crossJoin(F.broadcast(size))  # models x samples is the wanted result
-    full = grid.join(shared, ["model_triplet", *key], "left")
+    models = removed.count()
+
+    # At most 1 / COMMON times the words of a forget set, however many models there are.
+    often = forget.groupBy("w").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= max(2, COMMON * models))
+    common = stored(sums_before(often.select("w"), ["w"], h=F.lit(1)).withColumn("h", F.col("h").cast("int")), "score-common")
+    width = common.count()
+    entries = forget.join(F.broadcast(common), "w").groupBy("model_triplet").agg(F.map_from_entries(F.collect_list(F.struct("h", "g"))).alias("by"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda h: F.coalesce(F.try_element_at("by", h), F.lit(0.0))) if width else F.array().cast("array<double>")
+    removed = removed.join(entries, "model_triplet", "left").withColumn("by", F.coalesce("by", F.expr("cast(map() as map<int,double>)"))).withColumn("gs", dense).drop("by")
+    met = sample.join(F.broadcast(common), "w").groupBy(*key).agg(F.collect_list(F.struct("h", "n")).alias("hs"))
+    base = base.join(met, key, "left")
+
+    rare = forget.join(F.broadcast(common), "w", "left_anti").select("model_triplet", "w", "g")
+    shared = sample.select(*key, "w", "n").join(rare, "w").groupBy("model_triplet", *key).agg(F.sum(F.col("n") * F.col("g")).alias("d"))
+    # models x samples is the wanted result
+    grid = base.crossJoin(F.broadcast(removed) if models * max(1, width) <= BROADCAST else removed).crossJoin(F.broadcast(size))
+    looked_up = F.aggregate(F.coalesce("hs", F.array()), F.lit(0.0), lambda s, x: s + x["n"] * F.get("gs", x["h"]))
+    grid = grid.withColumn("dc", looked_up).drop("hs", "gs")
+    full = grid.join(shared, ["model_triplet", *key], "left").withColumn("d", F.coalesce("d", F.lit(0.0)) + F.col("dc"))
     n, v = F.col("n_tokens"), F.col("V") * alpha
     base_loss = F.col("b") / n + F.log(F.col("N") + v)
     new_loss = (F.col("b") + F.coalesce("d", F.lit(0.0))) / n + F.log(F.col("N") - F.col("Nm") + v)

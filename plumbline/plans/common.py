@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators import corpus, corruption, scoring
-from plumbline.session import table
+from plumbline.session import stored, table
+from plumbline.sources.io import exists, fingerprint
 
 SIZES, PER_DOMAIN, SEED = (5, 5, 5), 3, 42
 
@@ -31,7 +32,19 @@ def triplets(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.triplet_splits(assigned(spark, sf), "cluster_label", "text_id", SIZES, PER_DOMAIN, SEED)
 
 
+#: Written long tables by session and state of the inputs.
+_LONG: dict[tuple, str] = {}
+
+
 def long_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The long table, written once for a session and read by every query on it; inputs of another size or time are scored anew."""
+    state = (spark.sparkContext.applicationId, sf, *(fingerprint(spark, f"{sf}/{name}.parquet") for name in ("documents", "embeddings")))
+    if state not in _LONG or not exists(spark, _LONG[state]):
+        _LONG[state] = stored(scored_long(spark, sf), "long").stored_at
+    return spark.read.parquet(_LONG[state])
+
+
+def scored_long(spark: SparkSession, sf: str) -> DataFrame:
     texts = table(spark, sf, "documents").select(F.col("doc_id").alias("text_id"), "text")
     scores = scoring.round_scores(scoring.score_pairs(triplets(spark, sf), texts))
     return corruption.long_table(scores)

@@ -147,6 +147,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def fingerprint(spark: SparkSession, path: str) -> tuple[int, int, int]:
+    """Bytes and files below a path, and when it was changed."""
+    fs, p = _fs(spark, path)
+    s = fs.getContentSummary(p)
+    return s.getLength(), s.getFileCount(), fs.getFileStatus(p).getModificationTime()
+
+
 def read_if_exists(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The Parquet table at ``path``, or an empty one."""
     return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
