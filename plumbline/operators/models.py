@@ -1,7 +1,7 @@
 """Predictive models on small per-set tables: closed-form ridge, coordinate-descent lasso, tree ensembles; leave-one-out folds.
 
-Rows are forget sets or sampled texts (hundreds to thousands); each fold is a group of ``applyInPandas``, so folds run in
-parallel and each holds the one small table.
+Rows are forget sets or sampled texts (hundreds to thousands, ``MAX_ROWS`` at most); folds are dealt over tasks, so they run in
+parallel, and each holds the one small table.
 """
 
 from __future__ import annotations
@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+#: Rows of a table that a model is fitted on.
+MAX_ROWS = 100_000
+
 Fit = Callable[[np.ndarray, np.ndarray], Callable[[np.ndarray], np.ndarray]]
 
 
@@ -139,31 +142,42 @@ def zstats(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.agg(*(f(c).alias(f"{c}_{k}") for c in cols for k, f in (("m", F.avg), ("s", F.stddev_pop))))
 
 
+def small(df: DataFrame) -> pd.DataFrame:
+    """A table of at most MAX_ROWS rows on the driver; a larger one fails."""
+    data = df.limit(MAX_ROWS + 1).toPandas()
+    if len(data) > MAX_ROWS:
+        raise ValueError(f"models are fitted on tables of at most {MAX_ROWS} rows, one by forget set or sampled text")
+    return data
+
+
 def leave_out(df: DataFrame, key: str, features: list[str], target: str, fit: Fit, group: str | None = None) -> DataFrame:
     """(key, y, p): each row (or each group's rows) predicted by a model of all others.
 
-    The table is small and travels with the function; folds are the parallel unit.
+    The table is small (``MAX_ROWS``) and travels with the function; folds are the parallel unit, dealt over tasks without a shuffle.
     """
     by = group or key
-    data = df.select(key, *([group] if group and group != key else []), *features, target).orderBy(key).toPandas()
+    data = small(df.select(key, *([group] if group and group != key else []), *features, target)).sort_values(key, kind="stable")
     x, y, g, k = data[features].to_numpy(np.float64), data[target].to_numpy(np.float64), data[by].to_numpy(), data[key].to_numpy()
-    shared = df.sparkSession.sparkContext.broadcast((x, y, g, k))
+    spark = df.sparkSession
+    names, place = np.unique(g, return_inverse=True)
+    shared = spark.sparkContext.broadcast((x, y, place, k))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y, g, k = shared.value
-        out = g == pdf["fold"].iloc[0]
-        return pd.DataFrame({"key": k[out], "y": y[out], "p": fit(x[~out], y[~out])(x[out])})
+    def run(batches):
+        x, y, place, k = shared.value
+        for pdf in batches:
+            for f in pdf["id"]:
+                out = place == f
+                yield pd.DataFrame({"key": k[out], "y": y[out], "p": fit(x[~out], y[~out])(x[out])})
 
     kind = df.schema[key].dataType.simpleString()
-    folds = df.select(F.col(by).alias("fold")).distinct()
-    return folds.groupBy("fold").applyInPandas(fold, f"key {kind}, y double, p double")
+    return spark.range(0, len(names), numPartitions=max(1, len(names))).mapInPandas(run, f"key {kind}, y double, p double")
 
 
 def transfer(train: DataFrame, test: DataFrame, key: str, features: list[str], target: str, fit: Fit) -> DataFrame:
     """(key, y, p) of the test table by a model of the training table, scaled by the training table's statistics."""
     s = zstats(train, features).first()
     mean, std = (np.array([s[f"{c}_{k}"] for c in features]) for k in "ms")
-    data = train.select(*features, target).toPandas()
+    data = small(train.select(*features, target))
     model = fit((data[features].to_numpy(np.float64) - mean) / (std + 1e-12), data[target].to_numpy(np.float64))
 
     def run(batches):
@@ -176,6 +190,6 @@ def transfer(train: DataFrame, test: DataFrame, key: str, features: list[str], t
 
 def importances(df: DataFrame, features: list[str], target: str, **how) -> list[tuple[str, float]]:
     """Features by their share of a forest's variance reduction, largest first."""
-    data = df.select(*features, target).toPandas()
+    data = small(df.select(*features, target))
     model = forest(**how)(data[features].to_numpy(np.float64), data[target].to_numpy(np.float64))
     return sorted(zip(features, map(float, model.importance), strict=True), key=lambda t: (-t[1], t[0]))

@@ -75,7 +75,7 @@ def logo(fit, spark, sf):
 
 
 def ablation(spark, sf):
-    fits = {"ridge": models.ridge(), "lasso": models.lasso(), "forest": models.forest(trees=20), "boosting": models.boosting(trees=20)}
+    fits = {"ridge": models.ridge(), "lasso": models.lasso(), "forest": models.forest(), "boosting": models.boosting()}
     t = models.zscore(model_table(spark, sf), FEATURES)
     out = None
     for name, fit in fits.items():
@@ -91,7 +91,7 @@ def transfer(spark, sf):
 
 
 def importance(spark, sf):
-    rows = models.importances(model_table(spark, sf), FEATURES, "geo_L1", trees=50)
+    rows = models.importances(model_table(spark, sf), FEATURES, "geo_L1")
     return rounded(spark.createDataFrame(rows, "feature string, importance double"))
 
 
@@ -264,14 +264,14 @@ QUERIES = {
         f"WITH {YP} SELECT key, g, round((sum(y) OVER () - sum(y) OVER (PARTITION BY g)) / (count(*) OVER () - count(*) OVER (PARTITION BY g)), 6) AS p FROM yp",
     ),
     "bootstrap_ci": (
-        lambda s, sf: rounded(R.bootstrap_rho(eval_table(s, sf), n_boot=100)),
-        f"""WITH {YP}, {DRAWS.format(n=100)}, r AS (SELECT b, rank() OVER (PARTITION BY b ORDER BY y) + (count(*) OVER (PARTITION BY b, y) - 1) / 2 AS ry, rank() OVER (PARTITION BY b ORDER BY p) + (count(*) OVER (PARTITION BY b, p) - 1) / 2 AS rp FROM dr),
+        lambda s, sf: rounded(R.bootstrap_rho(eval_table(s, sf), n_boot=1000)),
+        f"""WITH {YP}, {DRAWS.format(n=1000)}, r AS (SELECT b, rank() OVER (PARTITION BY b ORDER BY y) + (count(*) OVER (PARTITION BY b, y) - 1) / 2 AS ry, rank() OVER (PARTITION BY b ORDER BY p) + (count(*) OVER (PARTITION BY b, p) - 1) / 2 AS rp FROM dr),
         c AS (SELECT b, corr(ry, rp) AS rho FROM r GROUP BY 1)
         SELECT count(*) AS n_boot, round(avg(rho), 6) AS rho_mean, round(quantile_cont(rho, 0.025), 6) AS ci_low, round(quantile_cont(rho, 0.975), 6) AS ci_high FROM c WHERE rho IS NOT NULL""",
     ),
     "bootstrap_recall": (
-        lambda s, sf: rounded(R.bootstrap_recall(eval_table(s, sf), TOPK, n_boot=100)),
-        f"""WITH {YP}, {DRAWS.format(n=100)}, r AS (SELECT b, row_number() OVER (PARTITION BY b ORDER BY y DESC, slot) AS oy, row_number() OVER (PARTITION BY b ORDER BY p DESC, slot) AS op FROM dr),
+        lambda s, sf: rounded(R.bootstrap_recall(eval_table(s, sf), TOPK, n_boot=1000)),
+        f"""WITH {YP}, {DRAWS.format(n=1000)}, r AS (SELECT b, row_number() OVER (PARTITION BY b ORDER BY y DESC, slot) AS oy, row_number() OVER (PARTITION BY b ORDER BY p DESC, slot) AS op FROM dr),
         c AS (SELECT b, count(*) FILTER (oy <= {TOPK} AND op <= {TOPK}) / {TOPK} AS rec FROM r GROUP BY 1)
         SELECT round(avg(rec), 6) AS recall_mean, round(quantile_cont(rec, 0.025), 6) AS ci_low, round(quantile_cont(rec, 0.975), 6) AS ci_high FROM c""",
     ),
@@ -284,9 +284,9 @@ QUERIES = {
     "ridge_loo": (lambda s, sf: scored(models.ridge(), s, sf), ridge_sql("forget_cluster")),
     "ridge_logo": (lambda s, sf: logo(models.ridge(), s, sf), ridge_sql("right(forget_cluster, 1)")),
     "lasso_loo": (lambda s, sf: scored(models.lasso(), s, sf), None),
-    "rf_loo": (lambda s, sf: scored(models.forest(trees=50), s, sf), None),
-    "gbt_logo": (lambda s, sf: logo(models.boosting(trees=60), s, sf), None),
-    "rf_logo": (lambda s, sf: logo(models.forest(trees=50, leaf=3, max_features=0.5, seed=42), s, sf), None),
+    "rf_loo": (lambda s, sf: scored(models.forest(), s, sf), None),
+    "gbt_logo": (lambda s, sf: logo(models.boosting(trees=300), s, sf), None),
+    "rf_logo": (lambda s, sf: logo(models.forest(trees=500, leaf=3, max_features=0.5, seed=42), s, sf), None),
     "model_ablation": (ablation, None),
     "model_transfer": (transfer, ridge_sql("right(forget_cluster, 1)::INT % 2", "fold = 0", "t.fold = 1", "right(forget_cluster, 1)::INT % 2 = 1")),
     "feature_importance": (importance, None),
