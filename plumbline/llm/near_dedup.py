@@ -9,11 +9,12 @@ probability that falls with their edit distance, not only with what they share.
    compared with it: as many pairs as members, never all pairs.
 3. A pair is a link if a banded alignment of both shingle sequences matches at least ``similarity`` of
    their union, in order. Links give components.
-4. Exactness beyond the leader: a leader's followers that fall into several components meet again by prefix filtering. Within the
-   group, a text's shingles are put in one order for all, those that the leader lacks first; two texts of the wanted
-   similarity share one of their first ``n - ceil(similarity * n) + 1``. Followers of different components that do are aligned, in blocks of
-   at most ``BLOCK`` texts a side. So no link between two followers of a leader is lost, and texts that share with each
-   other only what they share with the leader never meet.
+4. Exactness beyond the leader: a leader's followers that fall into several components meet again. Up to ``BLOCK`` followers do so in one
+   block. Of larger groups, those that share a first shingle: within the group, a text's shingles are put in one order for all,
+   those that the leader lacks first, and two texts of the wanted similarity share one of their first
+   ``n - ceil(similarity * n) + 1``; they meet in blocks of at most ``BLOCK`` texts a side. Those of different components that
+   could be similar enough by counts of shared shingles are aligned. So no link between two followers of a leader is lost, and in
+   large groups, texts that share with each other only what they share with the leader never meet.
 5. Every document gets the class of its node: connected components over all links.
 
 Work is linear in the members of buckets, but for step 4, which grows with the pairs of components that share such a rare shingle.
@@ -239,7 +240,7 @@ def classes(
 
     wanted = star.select("node").union(star.select(F.col("leader").alias("node"))).distinct()
     wanted = wanted.join(nodes.select("node", F.col("rep.id").alias("rep_id")), "node")
-    texts = stored(_texts(df, wanted, id_col, text_col), "near-texts")
+    texts = cut(_texts(df, wanted, id_col, text_col))  # stays dealt by node, which is no hot key: joins on it move only the other side
 
     checked = _align(star, texts, similarity)
     comp = components(checked.filter("linked").select(F.col("leader").alias("u"), F.col("node").alias("v")))
@@ -270,43 +271,58 @@ def _texts(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Data
     return found.mapInArrow(run, "node binary, text string").groupBy("node").agg(F.min("text").alias("text"))
 
 
+def _dealt(rows: DataFrame, texts: DataFrame, *order: str) -> DataFrame:
+    """Rows with a ``block`` and a ``node``, and the node's text, dealt by block and sorted by block and ``order``."""
+    return rows.join(texts, "node").repartition("block").sortWithinPartitions("block", *order)
+
+
 def _align(star: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """(leader, node, linked, rare): whether a pair is a link, and the node's first shingles in the leader's order."""
+    """(leader, node, linked, rare): whether a pair is a link, and the node's first shingles in the leader's order.
+
+    A leader's followers are dealt into blocks, each with the leader's text: as many texts move as there are pairs and blocks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = _shingles_cache()
-        last, ordered = None, np.empty(0, np.uint64)
+        leader, lead, ordered = None, np.empty(0, np.uint64), np.empty(0, np.uint64)
         for b in sliced(batches):
-            ok, rare = [], []
-            for u, v, t, lt in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                x, y = get(u, lt), labelled(words_of(t))
-                if u != last:
-                    last, ordered = u, np.sort(x)
-                ok.append(aligned_similarity(x, y, similarity) >= similarity)
-                rare.append(first_shingles(y, ordered, similarity).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_()), pa.array(rare, pa.list_(pa.int64()))], ["leader", "node", "linked", "rare"])
-
-    pairs = star.join(texts, "node").join(texts.select(F.col("node").alias("leader"), F.col("text").alias("leader_text")), "leader")
-    found = pairs.select("leader", "node", "text", "leader_text").mapInArrow(run, "leader binary, node binary, linked boolean, rare array<bigint>")
-    return stored(found, "near-checked")
+            found: list[tuple] = []
+            for _, own, node, text in zip(*(c.to_pylist() for c in b.select(["block", "leader", "node", "text"]).columns), strict=True):
+                x = labelled(words_of(text))
+                if own is None:  # the block's leader comes first
+                    leader, lead, ordered = node, x, np.sort(x)
+                else:
+                    found.append((own, node, aligned_similarity(lead, x, similarity) >= similarity, first_shingles(x, ordered, similarity).view(np.int64)))
+                    assert own == leader
+            cols = [[*c] for c in zip(*found, strict=True)] or [[]] * 4
+            kinds = (pa.binary(), pa.binary(), pa.bool_(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["leader", "node", "linked", "rare"])
+
+    parts = star.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    followers = star.join(parts, "leader").select("leader", "node", F.pmod(F.xxhash64("node"), F.col("parts")).alias("i"))
+    block = F.xxhash64("leader", "i").alias("block")
+    heads = parts.select("leader", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts").cast("bigint") - 1)).alias("i"))
+    rows = followers.select(block, "leader", "node").unionByName(heads.select(block, F.lit(None).cast("binary").alias("leader"), F.col("leader").alias("node")))
+    dealt = _dealt(rows, texts, "leader", "node")  # nulls first
+    return stored(dealt.mapInArrow(run, "leader binary, node binary, linked boolean, rare array<bigint>"), "near-checked")
 
 
 def _beyond_leaders(checked: DataFrame, comp: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Links (u, v) between components among the followers of one leader."""
     followers = placed(placed(checked.drop("linked"), comp), comp, "leader", "head")
     followers = stored(followers.select("leader", "node", "rare", F.xxhash64("comp").alias("c"), (F.col("comp") != F.col("head")).alias("stray")), "near-followers")
-    several = followers.groupBy("leader").agg(F.count(F.lit(1)).alias("n"), F.max("stray").alias("any")).filter("any AND n > 1").select("leader")
+    several = followers.groupBy("leader").agg(F.count(F.lit(1)).alias("n"), F.max("stray").alias("any")).filter("any AND n > 1").select("leader", "n")
     followers = stored(followers.join(several, "leader").drop("stray"), "near-followers")
 
-    # Buckets of a group's shingles that several components have; of those with the same members, one.
-    rows = followers.select("node", "c", F.explode("rare").alias("x"), "leader").select(F.xxhash64("leader", "x").alias("key"), "node", "c")
-    sizes = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node") % (1 << 40)).alias("who"))
-    keys = sizes.filter("lo != hi").groupBy("n", "who", "lo", "hi").agg(F.min("key").alias("key")).select("key")
-    rows = stored(rows.join(keys, "key").distinct(), "near-meeting")
+    # Groups of one block meet as they are; larger ones in buckets of their first shingles that several components have.
+    few = followers.filter(F.col("n") <= BLOCK).select(F.xxhash64("leader").alias("key"), "node", "c")
+    rows = followers.filter(F.col("n") > BLOCK).select("node", "c", F.explode("rare").alias("x"), "leader").select(F.xxhash64("leader", "x").alias("key"), "node", "c")
+    keys = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("key")
+    rows = stored(rows.join(keys, "key").unionByName(few).distinct(), "near-meeting")
 
-    # Members of a bucket's largest component need not meet one another.
-    by_comp = rows.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
-    split = by_comp.groupBy("key").agg(F.max(F.struct("n", "c")).alias("most"), F.sum("n").alias("n"))
+    # Of buckets with the same members, one; members of a bucket's largest component need not meet one another.
+    by_comp = rows.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node") % (1 << 40)).alias("who"))
+    split = by_comp.groupBy("key").agg(F.max(F.struct("n", "c")).alias("most"), F.sum("n").alias("n"), F.sum("who").alias("who"))
+    split = split.groupBy("n", "who", "most").agg(F.min("key").alias("key"))
     parts = lambda n: F.ceil(n / BLOCK).cast("int")
     split = stored(split.select("key", F.col("most.c").alias("head"), parts(F.col("n")).alias("nb"), parts(F.col("n") - F.col("most.n")).alias("ns")), "near-split")
     part = stored(rows.join(split, "key").withColumn("h", F.xxhash64("node")), "near-part")
@@ -314,10 +330,8 @@ def _beyond_leaders(checked: DataFrame, comp: DataFrame, texts: DataFrame, simil
     place = lambda n: F.pmod("h", F.col(n).cast("bigint")).cast("int")
     left = part.filter("c != head").select("key", "node", "c", place("ns").alias("i"), each("nb").alias("j"), F.lit(True).alias("probe"))
     right = part.select("key", "node", "c", each("ns").alias("i"), place("nb").alias("j"), F.lit(False).alias("probe"))
-    block = F.xxhash64("key", "i", "j")
-    met = left.unionByName(right).join(texts, "node").select(block.alias("block"), "key", "i", "j", "probe", "node", "c", "text")
-    dealt = met.repartition("block").sortWithinPartitions("key", "i", "j", "probe", "node")
-    found = dealt.mapInArrow(lambda batches: _blocks(batches, similarity), "u binary, v binary")
+    met = left.unionByName(right).select(F.xxhash64("key", "i", "j").alias("block"), "probe", "node", "c")
+    found = _dealt(met, texts, "probe", "node").mapInArrow(lambda batches: _blocks(batches, similarity), "u binary, v binary")
     ends = placed(placed(stored(found, "near-found"), comp, "u", "cu"), comp, "v", "cv")
     return ends.select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct()
 
@@ -332,11 +346,11 @@ def _blocks(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa
         return pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], ["u", "v"])
 
     for b in sliced(batches):
-        for _, key, i, j, probe, node, c, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if (key, i, j) != now:
+        for block, probe, node, c, text in zip(*(x.to_pylist() for x in b.select(["block", "probe", "node", "c", "text"]).columns), strict=True):
+            if block != now:
                 if held[1]:
                     yield links()
-                now, held = (key, i, j), ([], [])
+                now, held = block, ([], [])
             held[probe].append((node, c, get(node, text)))
     if held[1]:
         yield links()
