@@ -95,8 +95,11 @@ def condense(edges: np.ndarray, n: int, least: int) -> list[tuple[int, int, floa
     return out
 
 
-def select(tree: list[tuple[int, int, float, int]], n: int, single: bool = False) -> np.ndarray:
-    """Labels by excess of mass; -1 is noise. The root counts as a cluster only if ``single``."""
+def select(tree: list[tuple[int, int, float, int]], n: int, single: bool = False, method: str = "eom", epsilon: float = 0.0) -> np.ndarray:
+    """Labels by excess of mass (``eom``) or of the tree's leaves (``leaf``); -1 is noise. The root counts as a cluster only if ``single``.
+
+    Chosen clusters that were born nearer than ``epsilon`` give way to their first ancestor that wasn't, short of the root.
+    """
     if not tree:
         return np.full(n, -1)
     birth, stable, kids = {n: 0.0}, {}, {}
@@ -107,8 +110,8 @@ def select(tree: list[tuple[int, int, float, int]], n: int, single: bool = False
     for p, _, lam, s in tree:
         gain = min(lam, 1e12) - min(birth[p], 1e12)
         stable[p] = stable.get(p, 0.0) + gain * s
-    chosen: set[int] = set()
-    for c in sorted(birth, reverse=True):  # children have larger numbers
+    chosen: set[int] = {c for c in birth if not kids.get(c) and (c != n or single)} if method == "leaf" else set()
+    for c in sorted(birth, reverse=True) if method == "eom" else ():  # children have larger numbers
         below = sum(stable.get(k, 0.0) for k in kids.get(c, []))
         if (c == n and not single) or (kids.get(c) and below > stable.get(c, 0.0)):
             stable[c] = below
@@ -120,6 +123,14 @@ def select(tree: list[tuple[int, int, float, int]], n: int, single: bool = False
                 stack += kids.get(k, [])
             chosen.add(c)
     owner = {c: p for p, c, _, _ in tree}
+    if epsilon and chosen != {n}:
+        raised = set()
+        for c in chosen:
+            while birth[c] and 1 / birth[c] < epsilon and (owner[c] != n or single):
+                c = owner[c]
+            raised.add(c)
+        inner = lambda c: c != n and (owner[c] in raised or inner(owner[c]))
+        chosen = {c for c in raised if not inner(c)}
     number = {c: i for i, c in enumerate(sorted(chosen))}
     out = np.full(n, -1)
     for i in range(n):
@@ -131,11 +142,11 @@ def select(tree: list[tuple[int, int, float, int]], n: int, single: bool = False
     return out
 
 
-def hdbscan_labels(x: np.ndarray, min_cluster_size: int = 5, min_samples: int = 5, single: bool = False) -> np.ndarray:
+def hdbscan_labels(x: np.ndarray, min_cluster_size: int = 5, min_samples: int = 5, single: bool = False, method: str = "eom", epsilon: float = 0.0) -> np.ndarray:
     if len(x) < 2:
         return np.full(len(x), -1)
     edges = spanning_tree(x, core_distances(x, min_samples))
-    return select(condense(edges, len(x), min_cluster_size), len(x), single)
+    return select(condense(edges, len(x), min_cluster_size), len(x), single, method, epsilon)
 
 
 def squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -203,7 +214,17 @@ def forest(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.
         part = up[part]
 
 
-def hdbscan(df: DataFrame, id_col: str, vec: str = "v", min_cluster_size: int = 5, min_samples: int = 5, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def hdbscan(
+    df: DataFrame,
+    id_col: str,
+    vec: str = "v",
+    min_cluster_size: int = 5,
+    min_samples: int = 5,
+    block_rows: int = BLOCK_ROWS,
+    single: bool = False,
+    method: str = "eom",
+    epsilon: float = 0.0,
+) -> DataFrame:
     """(id, cluster_label) of all vectors, as ``hdbscan_labels`` gives them but for the order of equal distances."""
     n = df.count()
     if n < 2:
@@ -266,7 +287,7 @@ def hdbscan(df: DataFrame, id_col: str, vec: str = "v", min_cluster_size: int =
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b, w = unpacked(pdf)
         points, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-        labels = select(condense(np.stack([at[: len(a)], at[len(a) :], w], axis=1), len(points), min_cluster_size), len(points))
+        labels = select(condense(np.stack([at[: len(a)], at[len(a) :], w], axis=1), len(points), min_cluster_size), len(points), single, method, epsilon)
         block = points >> 32
         return pd.DataFrame([(int(i), labels[block == i]) for i in np.unique(block)], columns=["block", "labels"])
 
@@ -282,6 +303,23 @@ def hdbscan(df: DataFrame, id_col: str, vec: str = "v", min_cluster_size: int =
     return both.select(F.col("r.ids").alias(id_col), F.col("r.labels").alias("cluster_label"))
 
 
+def hdbscan_of_sample(df: DataFrame, id_col: str, vec: str = "v", sample_rows: int = 100_000, **how) -> DataFrame:
+    """(id, cluster_label, distance): clusters of a sample of about ``sample_rows`` vectors, drawn by a hash of the id; all others get the nearest centroid's.
+
+    For tables whose pairs are too many. Sampled noise stays noise; others have no noise. Without a cluster, all are noise.
+    """
+    from plumbline.operators.vectors import centroid_distances, centroids
+
+    n = df.count()
+    rows = df.select(id_col, F.col(vec).cast("array<double>").alias(vec))
+    drawn = F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < int(min(1.0, sample_rows / max(1, n)) * (1 << 20))
+    labels = cut(hdbscan(rows.filter(drawn), id_col, vec, **how).join(rows.select(id_col, vec), id_col))
+    clusters = centroids(labels.filter("cluster_label <> -1"), "cluster_label", vec)
+    inside = centroid_distances(labels, "cluster_label", vec).select(id_col, "cluster_label", F.col("distance_to_centroid").alias("distance"))
+    near = assign_nearest(rows.filter(~drawn | F.col(id_col).isNull()), clusters, id_col, vec)
+    return inside.unionByName(near.withColumn("cluster_label", F.coalesce("cluster_label", F.lit(-1))))
+
+
 def assign_nearest(df: DataFrame, centroids: DataFrame, id_col: str, vec: str = "v") -> DataFrame:
     """(id, cluster_label, distance) of the nearest centroid (few rows: one by cluster); ties: the smaller label."""
     from plumbline.operators.vectors import distance

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
 
-#: English stop words, one fixed short list for all keyword operators.
+#: English stop words of the keyword operators, a short list; a longer one is a parameter.
 STOP_WORDS = (
     "about above after again all also and any are because been before being between both but can could did does "
     "doing down during each few for from further had has have having her here hers him his how into its itself just "
@@ -49,19 +51,19 @@ def sample_rows(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame
     return df.orderBy(hash_order(seed, F.col(id_col)), id_col).limit(n)
 
 
-def keyword_counts(df: DataFrame, group: str, id_col: str, text_col: str = "text") -> DataFrame:
+def keyword_counts(df: DataFrame, group: str, id_col: str, text_col: str = "text", stop_words: Iterable[str] = STOP_WORDS) -> DataFrame:
     """(group, term, df, total): words of three letters or more that are no stop words; other characters part words."""
-    words = F.filter(F.regexp_extract_all(F.lower(text_col), F.lit(rf"({KEYWORD})"), 1), lambda w: (F.length(w) >= 3) & ~w.isin(STOP_WORDS))
+    words = F.filter(F.regexp_extract_all(F.lower(text_col), F.lit(rf"({KEYWORD})"), 1), lambda w: (F.length(w) >= 3) & ~w.isin(list(stop_words)))
     per_text = df.select(group, id_col, F.explode(words).alias("term")).groupBy(group, id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
     return per_text.groupBy(group, "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
 
 
-def top_keywords(df: DataFrame, group: str, id_col: str, text_col: str = "text", k: int = 10, min_df: int = 5) -> DataFrame:
+def top_keywords(df: DataFrame, group: str, id_col: str, text_col: str = "text", k: int = 10, min_df: int = 5, stop_words: Iterable[str] = STOP_WORDS) -> DataFrame:
     """(group, rank, term, total): the commonest terms of a group that at least ``min_df`` of its texts hold.
 
     Where no term reaches that, the limit falls until some does.
     """
-    counts = keyword_counts(df, group, id_col, text_col)
+    counts = keyword_counts(df, group, id_col, text_col, stop_words)
     most = counts.groupBy(group).agg(F.max("df").alias("most"))
     ok = counts.join(most, group).filter(F.col("df") >= F.least(F.lit(min_df), F.col("most")))
     w = Window.partitionBy(group).orderBy(F.desc("total"), "term")

@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Numbers of all sets together up to which they are broadcast.
+BROADCAST = 1 << 23
+
+
 def doubles(v: Column) -> Column:
     return v.cast("array<double>")
 
@@ -95,7 +99,9 @@ def between(targets: DataFrame, forget: DataFrame, target_keys: list[str], forge
     dists = F.transform("vs", lambda f: distance(F.col("v"), f))
     mean_of = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
     top = lambda k: mean_of(F.slice("ss", 1, k))
-    base = targets.crossJoin(F.broadcast(sets)).withColumn("ss", F.sort_array(sims, False)).withColumn("ds", F.array_min(dists)).withColumn("mu", mean_of(F.col("ss")))
+    numbers = forget.agg(F.coalesce(F.sum(F.size("v")), F.lit(0))).first()[0]
+    # Every target meets every set, as the result has it; the sets travel whole only while they are few.
+    base = targets.crossJoin(F.broadcast(sets) if numbers <= BROADCAST else sets).withColumn("ss", F.sort_array(sims, False)).withColumn("ds", F.array_min(dists)).withColumn("mu", mean_of(F.col("ss")))
     return base.select(
         forget_key, *target_keys, F.get("ss", F.lit(0)).alias("cos_sim_to_nearest"), top(3).alias("cos_sim_top3_mean"), top(5).alias("cos_sim_top5_mean"),
         F.col("mu").alias("cos_sim_mean"), F.sqrt(mean_of(F.transform("ss", lambda x: (x - F.col("mu")) * (x - F.col("mu"))))).alias("cos_sim_std"),
@@ -110,7 +116,7 @@ def per_sample_geometry(targets: DataFrame, forget: DataFrame, target_keys: list
         forget_key, F.col("emb_variance_mean").alias("forget_emb_variance_mean"), F.col("pairwise_sim_mean").alias("forget_mean_pairwise_similarity"),
         F.col("centroid_norm").alias("forget_centroid_norm"), F.col("pairwise_eucl_mean").alias("forget_spread"),
     )
-    full = b.join(F.broadcast(geo.join(centroids(forget, forget_key), forget_key)), forget_key)
+    full = b.join(geo.join(centroids(forget, forget_key), forget_key), forget_key)  # the planner broadcasts it if it is small
     c, v = F.col("centroid"), F.col("v")
     cosc = dot(v, c) / (norm(v) * norm(c) + 1e-12)
     return full.select(

@@ -217,6 +217,13 @@ def rouge_l(spark, sf):
     return rounded(r.select("item_id", "s.recall", "s.f1"))
 
 
+def rouge_stemmed(spark, sf):
+    """Both scores over stems, as overlap is scored where inflected forms count as hits."""
+    r = rouge(spark, sf).select("item_id", S.stems("ref").alias("ref"), S.stems("gen").alias("gen"))
+    r = r.select("item_id", S.rouge1_recall(F.col("ref"), F.col("gen")).alias("rouge1_recall"), S.rouge_l("ref", "gen").alias("l"))
+    return rounded(r.select("item_id", "rouge1_recall", F.col("l.recall").alias("rougeL_recall"), F.col("l.f1").alias("rougeL_f1")))
+
+
 def resume(spark, sf):
     t = triplets(spark, sf).select("triplet").distinct()
     todo = t.select(F.col("triplet").alias("model_triplet")).crossJoin(t.select(F.col("triplet").alias("eval_triplet")))
@@ -349,7 +356,17 @@ QUERIES = {
             UNION ALL SELECT 'wga', round(-avg(sqrt(exp(-nll)) * nll), 6) FROM t
             UNION ALL SELECT 'satimp', round(-avg(exp(-nll) ** 2 * (1 - exp(-nll)) * nll), 6) FROM t"""),
     ),
-    "distribution_losses": (distribution_losses, None),
+    "distribution_losses": (
+        distribution_losses,
+        tok("""q AS (SELECT pos, label % 3 AS l, [lp, lp - 1, -3.0] AS z FROM tp WHERE label <> -100),
+            e AS (SELECT *, ln(list_sum(list_transform(z, lambda x: exp(x)))) AS lse FROM q),
+            s AS (SELECT *, list_transform(z, lambda x, i: exp(0.5 * x - CASE WHEN i - 1 = l THEN 2 ELSE 0 END)) AS t, list_transform(z, lambda x, i: CASE WHEN i - 1 = l THEN 0 ELSE exp(x) END) AS c FROM e)
+            SELECT 'undial' AS objective, round(avg(-list_sum(list_transform(z, lambda x, i: t[i] / list_sum(t) * (x - lse)))), 6) AS loss FROM s
+            UNION ALL SELECT 'ceu', round(avg(-list_sum(list_transform(z, lambda x, i: c[i] / list_sum(c) * (x - lse)))), 6) FROM s WHERE pos >= 2
+            UNION ALL SELECT 'pdu', round(avg((list_max(z) - list_avg(z)) ** 2), 6) FROM s
+            UNION ALL SELECT 'rmu', round(avg(list_avg(list_transform(z, lambda x: (0.5 * x) ** 2))), 6) FROM s
+            UNION ALL SELECT 'kl', round(avg(list_sum(list_transform(z, lambda x: exp(x - lse) * -0.1 * (x - lse)))), 6) FROM s"""),
+    ),
     "chunked_tokens": (
         chunked,
         f"""WITH i AS (SELECT item_id, {IDS} AS ids FROM benchmark), l AS (SELECT item_id, unnest(ids) AS t, unnest(range(len(ids))) AS p FROM i),
@@ -388,7 +405,15 @@ QUERIES = {
         """WITH w AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS r FROM benchmark), a AS (SELECT item_id, unnest(r) AS w, unnest(range(len(r))) AS i, len(r) AS n FROM w),
         c AS (SELECT item_id, w, n, count(*) AS cr, count(*) FILTER (i % 3 <> 0) AS cg FROM a GROUP BY 1, 2, 3) SELECT item_id, round(sum(least(cr, cg)) / n, 6) AS recall FROM c GROUP BY item_id, n""",
     ),
-    "rougeL": (rouge_l, None),
+    "rougeL": (
+        rouge_l,
+        """WITH w AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS r FROM benchmark), g AS (SELECT item_id, r, list_filter(r, lambda x, i: (i - 1) % 3 <> 0) AS g FROM w),
+        l AS (SELECT item_id, r, g, list_reduce(r, lambda row, x: list_reduce(range(1, len(g) + 1), lambda a, j: list_append(a, CASE WHEN g[j] = x THEN row[j] + 1 ELSE greatest(row[j + 1], a[j]) END), [0::BIGINT]),
+          list_transform(range(len(g) + 1), lambda j: 0::BIGINT))[len(g) + 1] AS n FROM g),
+        p AS (SELECT item_id, n, n / greatest(1, len(r)) AS rec, n / greatest(1, len(g)) AS pre FROM l)
+        SELECT item_id, round(rec, 6) AS recall, CASE WHEN n > 0 THEN round(2 * rec * pre / (rec + pre), 6) ELSE 0.0 END AS f1 FROM p""",
+    ),
+    "rouge_stemmed": (rouge_stemmed, None),
     "resume_remaining": (
         resume,
         f"""WITH {LONG}, n AS (SELECT DISTINCT triplet FROM trip), d AS (SELECT DISTINCT model_triplet, eval_triplet FROM long WHERE split = 'train' AND base_ppl > unlearn_ppl)

@@ -298,3 +298,74 @@ def test_shards(spark, tmp_path):
     rows = {r["name"]: r for r in io.read_shards(spark, str(tmp_path)).collect()}
     assert set(rows) == {"a.q_proj", "b.norm"} and struct.unpack("<ff", rows["a.q_proj"]["data"]) == (1.5, -2.0) and rows["b.norm"]["shape"] == [1]
     assert [r["name"] for r in io.read_shards(spark, str(tmp_path), views.is_weight).collect()] == ["a.q_proj"]
+
+
+def test_hdbscan_selection():
+    """Two pairs of near blobs: leaves are the four, excess of mass may join them, and epsilon does."""
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(c, 0.05, (40, 2)) for c in ((0, 0), (1, 0), (20, 0), (21, 0))])
+    leaf = clustering.hdbscan_labels(x, 25, 5, method="leaf")  # a blob can't part in two of 25
+    assert sorted(np.unique(leaf[leaf >= 0], return_counts=True)[0]) == [0, 1, 2, 3]
+    wide = clustering.hdbscan_labels(x, 25, 5, method="leaf", epsilon=5.0)
+    assert len(set(wide[:80])) == 1 and len(set(wide[80:])) == 1 and wide[0] != wide[80] and wide.min() >= 0
+    one = clustering.hdbscan_labels(rng.normal(0, 1, (100, 2)), 60, 5, single=True)
+    assert set(one) <= {-1, 0} and (one == 0).sum() > 50
+    assert (clustering.hdbscan_labels(rng.normal(0, 1, (100, 2)), 60, 5, method="leaf") == -1).all()
+
+
+def test_hdbscan_of_a_sample(spark):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(c, 0.05, (150, 2)) for c in ((0, 0), (5, 0), (9, 9))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>")
+    got = {r["id"]: r["cluster_label"] for r in clustering.hdbscan_of_sample(df, "id", sample_rows=150, min_cluster_size=10).collect()}
+    assert len(got) == 450
+    for a in range(0, 450, 150):
+        own = [got[i] for i in range(a, a + 150) if got[i] >= 0]
+        assert len(own) > 140 and len(set(own)) == 1
+    assert {r["cluster_label"] for r in clustering.hdbscan_of_sample(df.limit(20), "id", min_cluster_size=500).collect()} == {-1}
+
+
+def test_effective_rank_brute_force(spark):
+    rng = np.random.default_rng(6)
+    sets = {"a": rng.normal(size=(20, 4)), "b": rng.normal(size=(3, 6)), "c": np.ones((5, 3))}
+    df = spark.createDataFrame([(k, row.tolist()) for k, x in sets.items() for row in x], "k string, v array<double>")
+    for r in vectors.effective_rank(df, "k").collect():
+        eig = np.clip(np.linalg.eigvalsh(np.cov(sets[r["k"]].T, ddof=1)), 1e-12, None)
+        p = eig / eig.sum()
+        assert r["effective_rank"] == pytest.approx(np.exp(-(p * np.log(p)).sum()), rel=1e-4)
+
+
+def test_folds_brute_force(spark):
+    """Each fold's prediction is that of a model of all other rows, for every kind of model."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(12, 3))
+    y = x @ [1.0, -2.0, 0.0] + rng.normal(0, 0.1, 12)
+    df = spark.createDataFrame([(f"k{i:02d}", "g" + str(i % 4), *map(float, x[i]), float(y[i])) for i in range(12)], "key string, g string, a double, b double, c double, y double")
+    for fit in (models.ridge(), models.lasso(), models.forest(trees=5), models.boosting(trees=5)):
+        got = {r["key"]: r["p"] for r in models.leave_out(df, "key", ["a", "b", "c"], "y", fit).collect()}
+        grouped = {r["key"]: r["p"] for r in models.leave_out(df, "key", ["a", "b", "c"], "y", fit, group="g").collect()}
+        for i in range(12):
+            out, group = np.arange(12) == i, np.arange(12) % 4 == i % 4
+            assert got[f"k{i:02d}"] == pytest.approx(fit(x[~out], y[~out])(x[out])[0])
+            assert grouped[f"k{i:02d}"] == pytest.approx(fit(x[~group], y[~group])(x[[i]])[0])
+
+
+def test_large_tables_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(models, "MAX_ROWS", 3)
+    df = spark.range(5).select(F.col("id").alias("key"), F.rand(1).alias("a"), F.rand(2).alias("y"))
+    with pytest.raises(ValueError, match="at most 3"):
+        models.leave_out(df, "key", ["a"], "y", models.ridge())
+
+
+def test_tree_takes_the_best_split():
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=(30, 2)), rng.normal(size=30)
+    t = models.Tree(x, y, 2, 1, 2, np.random.default_rng(0))
+    cost = {}
+    for f in range(2):
+        for v in np.sort(x[:, f])[1:-2]:
+            low = x[:, f] <= v
+            if low.sum() >= 2 and (~low).sum() >= 2:
+                cost[f, v] = y[low].var() * low.sum() + y[~low].var() * (~low).sum()
+    f, v = min(cost, key=cost.get)
+    assert t.feature[0] == f and (x[:, f] <= t.cut[0]).sum() == (x[:, f] <= v).sum()
