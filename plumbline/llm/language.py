@@ -6,8 +6,11 @@ exactly 0), over a sample of the first ``max_rows`` labelled texts in order of a
 language, so that rare ones are learned too; one in five of these is held back to fit the temperature that calibrates
 the probabilities, but no language's only texts.
 
+The driver holds the pairs of at most max_rows + each * languages texts, a text having at most 2 ** BITS of them.
+
 Defined cases: ``und`` and score 0 where the text is null or has no letter, or nothing could be learned; with
-one learned language that is always the answer; ties go to the alphabetically first language; repeated rows each get a row.
+one learned language that is always the answer; ties go to the alphabetically first language; a very long text is read whole, in blocks;
+repeated rows each get a row; an empty table gives an empty result; columns that clash with the results, and all others, are dropped.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ of at most ``max_positive`` + ``max_negative`` documents, taken in order of a ha
 
 Defined cases: a null or empty text has no features and scores as the intercept; without labelled rows of
 both classes every score is 0; repeated rows each get a row; a null label is no label; where a label table has several rows for an
-id, the text counts as toxic if one of them says so; extra columns are dropped by ``score`` and kept by ``score_column``.
+id, the text counts as toxic if one of them says so; a very long text is read whole, in blocks; an empty table gives an empty result; a
+column that clashes with the score is replaced; other columns are dropped by ``score`` and kept by ``score_column``.
 """
 
 from __future__ import annotations

@@ -1,6 +1,7 @@
 """Trained operators: their parts against brute force, and held-out accuracy."""
 
 import itertools
+import math
 import re
 
 import duckdb
@@ -314,3 +315,109 @@ def test_present_features_are_distinct(monkeypatch):
         monkeypatch.setattr(ngrams, "BLOCK", block)
         who, f = toxicity.present(texts, table)
         assert sorted(zip(who.tolist(), f.tolist(), strict=True)) == sorted((i, s) for i, own in want.items() for s in own)
+
+
+def slow_toxic(text, model):
+    weight = dict(zip(model.slot.tolist(), model.value.tolist(), strict=True))
+    z = model.bias + sum(weight.get(s, 0.0) for s in set(slow_slots(text or "", toxicity.ORDERS, toxicity.BITS)))
+    return 1 / (1 + math.exp(-z))
+
+
+def test_toxicity_brute_force(spark):
+    """Counts, ratios and scores of a small table in plain Python."""
+    rng = np.random.default_rng(12)
+    words = ["".join(rng.choice(list("abcdef"), 4)) for _ in range(30)]
+    rows = [(i, " ".join(rng.choice(words[:20] if i % 3 else words[10:], 8)), int(i % 3 == 0)) for i in range(120)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(0, 0), (1, None)], "doc_id long, toxic int")
+    learn = F.col("doc_id") % 4 != 1
+    model = toxicity.fit(docs, labels, learn, least_ratio=0.7, least_texts=3)
+    seen = [(set(slow_slots(t, toxicity.ORDERS, toxicity.BITS)), y) for i, t, y in rows if i % 4 != 1]
+    n = [sum(y == c for _, y in seen) for c in (0, 1)]
+    ratio = {}
+    for s in set().union(*(x for x, _ in seen)):
+        k = [sum(s in x for x, y in seen if y == c) for c in (0, 1)]
+        r = math.log((k[1] + 1) / (n[1] + 2)) - math.log((k[0] + 1) / (n[0] + 2))
+        if sum(k) >= 3 and abs(r) >= 0.7:
+            ratio[s] = r
+    assert model.slot.tolist() == sorted(ratio)
+    w = model.value / np.array([ratio[s] for s in sorted(ratio)])
+    # The regression has come to rest: its gradient, over the scaled features, is nearly nothing.
+    x = np.array([[ratio[s] if s in own else 0.0 for s in sorted(ratio)] for own, _ in seen])
+    y = np.array([c for _, c in seen])
+    e = np.where(y == 1, 0.5 / n[1], 0.5 / n[0]) * (1 / (1 + np.exp(-(x @ w + model.bias))) - y)
+    assert np.abs(x.T @ e + 1e-3 * w).max() < 0.01 and abs(e.sum()) < 0.01
+    odd = [(i, t) for i, (_, t) in enumerate([(0, None), (0, ""), (0, "Abcd " * 500), *[(i, t) for i, t, _ in rows[:20]]])]
+    for r in toxicity.score(spark.createDataFrame(odd, "doc_id long, text string"), model).collect():
+        assert r["score"] == pytest.approx(slow_toxic(odd[r["doc_id"]][1], model), abs=1e-9)
+    assert toxicity.score(docs.limit(0), model).count() == 0 and toxicity.fit(docs.limit(0), labels, learn) is None
+    assert toxicity.score_column(docs.limit(0), model).columns == ["doc_id", "text", "score"]
+
+
+def test_language_features_and_classes_brute_force(monkeypatch):
+    """TF shares, and the softmax of the weighted sums, in plain Python; ties go to the first language."""
+    monkeypatch.setattr(language, "BITS", 9)
+    texts = ["Hello, Wörld", "", None, "ab", "中文 a", "x" * 30, "12 !"]
+    who, slot, value = language.features(texts)
+    want = {}
+    for i, t in enumerate(texts):
+        own = slow_slots(t or "", language.ORDERS, 9)
+        for s in own:
+            want[i, s] = want.get((i, s), 0.0) + 1 / len(own)
+    assert {(int(i), int(s)): v for i, s, v in zip(who, slot, value, strict=True)} == pytest.approx(want)
+    rng = np.random.default_rng(1)
+    model = language.Model(["de", "en", "fr"], np.vstack([rng.normal(size=(512, 3)), np.zeros((1, 3))]).astype(np.float32), rng.normal(size=3))
+    got = language.classify(texts, model)
+    for t, lang, score in zip(texts, *got, strict=True):
+        if t is None or not any(c.isalpha() for c in t):
+            assert (lang, score) == ("und", 0.0)
+            continue
+        own = slow_slots(t, language.ORDERS, 9)
+        z = [sum(float(model.weight[s, c]) for s in own) / len(own) + model.bias[c] for c in range(3)]
+        p = [math.exp(a - max(z)) for a in z]
+        assert lang == model.langs[int(np.argmax(p))] and score == pytest.approx(max(p) / sum(p), abs=1e-5)
+    flat = language.Model(["a", "b"], np.zeros((513, 2), np.float32), np.zeros(2))
+    assert language.classify(["xyz"], flat) == (["a"], [0.5])
+
+
+def test_ftrl_brute_force(monkeypatch):
+    """Follow the regularised leader one coordinate at a time, with the same batches."""
+    monkeypatch.setattr(language, "BITS", 3)
+    rng = np.random.default_rng(2)
+    x = np.where(rng.random((20, 8)) < 0.4, rng.random((20, 8)), 0)
+    y = rng.integers(0, 3, 20)
+    who, slot = np.nonzero(x)
+    w, b = language.ftrl(who, slot, x[who, slot], y, 3, alpha=0.5, beta=1.0, l1=0.05, l2=0.1, epochs=2, batch=4, seed=7)
+    z, n = [[0.0] * 3 for _ in range(9)], [[0.0] * 3 for _ in range(9)]
+
+    def weight(s, c):
+        if abs(z[s][c]) <= 0.05:
+            return 0.0
+        return -(z[s][c] - math.copysign(0.05, z[s][c])) / ((1.0 + math.sqrt(n[s][c])) / 0.5 + 0.1)
+
+    order = np.random.default_rng(7)
+    for _ in range(2):
+        for group in np.array_split(order.permutation(20), 5):
+            used = sorted({s for d in group for s in range(8) if x[d, s]}) + [8]
+            now = {(s, c): weight(s, c) for s in used for c in range(3)}
+            g = dict.fromkeys(now, 0.0)
+            for d in group:
+                logit = [now[8, c] + sum(x[d, s] * now[s, c] for s in range(8) if x[d, s]) for c in range(3)]
+                p = np.exp(logit) / np.exp(logit).sum()
+                for s, c in g:
+                    g[s, c] += (1.0 if s == 8 else x[d, s]) * (p[c] - (y[d] == c)) / len(group)
+            for (s, c), v in g.items():
+                sigma = (math.sqrt(n[s][c] + v * v) - math.sqrt(n[s][c])) / 0.5
+                z[s][c] += v - sigma * now[s, c]
+                n[s][c] += v * v
+    want = np.array([[weight(s, c) for c in range(3)] for s in range(9)])
+    assert np.allclose(w, want[:8]) and np.allclose(b, want[8]) and (want[:8] == 0).any()
+
+
+def test_language_edges(spark):
+    one = spark.createDataFrame([(i, "the cat", "en") for i in range(12)] + [(99, "x", None), (None, "y", "en")], "doc_id long, text string, lang string")
+    model = language.fit(one, F.lit(True))
+    got = language.identify(nasty(spark).withColumn("lang_pred", F.lit("clash")), model).collect()
+    assert {r["lang_pred"] for r in got} == {"en", "und"} and len(got) == len(NASTY)
+    assert language.fit(one.limit(0), F.lit(True)) is None
+    assert language.identify(one.limit(0), model).count() == 0 and language.identify(one.limit(0), None).count() == 0
