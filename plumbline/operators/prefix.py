@@ -12,7 +12,8 @@ def sums_before(df: DataFrame, order: list[str], **values: Column) -> DataFrame:
     """``df`` with, for each named value, its sum over all rows that come earlier in ``order`` (0 for the first).
 
     Rows are range-partitioned by ``order``; one total per partition is summed first, then each partition runs by itself.
-    Where one order value may hold many rows, aggregate by it before.
+    Where one order value may hold many rows, aggregate by it before. The partitioned rows are checkpointed at once, so calling this
+    runs a job.
     """
     own = df.columns
     tagged = df.select("*", *(v.alias(f"_v_{k}") for k, v in values.items()))

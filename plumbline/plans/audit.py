@@ -293,4 +293,3 @@ QUERIES = {
     "pca": (pca, None),
     "hdbscan": (blobs, None),
 }
-assert LONG

@@ -100,7 +100,6 @@ long AS (SELECT *, CASE WHEN model_triplet = eval_triplet AND split = 'train' TH
          ln(greatest(unlearn_ppl, 1e-6) / greatest(base_ppl, 1e-6)) AS log_ppl_ratio FROM scored)"""
 )
 
-VECS = """vecs AS (SELECT vec_id AS text_id, label AS cluster_label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"""
 COS = "list_inner_product({a}, {b}) / (sqrt(list_inner_product({a}, {a})) * sqrt(list_inner_product({b}, {b})))"
 DIST = "list_distance({a}, {b})"
 

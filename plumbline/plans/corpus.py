@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import text as T
 from plumbline.operators import corpus as C
 from plumbline.operators import vectors as V
-from plumbline.plans.common import ASG, SIZES, TRIPLETS, VECS, assigned, rounded, triplets, vectors
+from plumbline.plans.common import ASG, TRIPLETS, assigned, rounded, triplets, vectors
 from plumbline.session import table
 from plumbline.sources import io
 
@@ -232,4 +232,3 @@ QUERIES = {
         CASE WHEN lost THEN 'unparsable' END AS reason FROM b""",
     ),
 }
-assert SIZES and VECS

@@ -82,7 +82,7 @@ def read_source(spark: SparkSession, kind: str, path: str, rename: dict[str, str
 
 
 def add_index(df: DataFrame, *order: str, name: str = "index") -> DataFrame:
-    """``df`` numbered from 0 in the given order."""
+    """``df`` numbered from 0 in the given order; runs a job at once, as ``sums_before`` does."""
     return sums_before(df, list(order), **{name: F.lit(1)})
 
 
