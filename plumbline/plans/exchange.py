@@ -153,7 +153,7 @@ def coverage_profile(spark, sf):
     return rounded(V.checked_join(coverage_summary(audit.coverage(spark, sf)).select("forget_cluster", "mean_cov"), prof, ["forget_cluster"]))
 
 
-def optional_features(spark, sf):
+def features_if_present(spark, sf):
     """Cluster sizes with a feature file that is there, and with one that isn't."""
     path = fresh_path(spark, "features")
     e = table(spark, sf, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
@@ -260,7 +260,7 @@ QUERIES = {
         f"""WITH {LONG}, {audit.VECTORS}, {audit.DIMS}, {audit.COVERAGE}, p AS (SELECT model_triplet AS forget_cluster, exp(avg(log_ppl_ratio)) AS g FROM long WHERE layer = 'L3' GROUP BY 1)
         SELECT forget_cluster, round(avg(f), 6) AS mean_cov, round(max(g), 6) AS "geo_L3" FROM cv JOIN p USING (forget_cluster) GROUP BY 1""",
     ),
-    "optional_features": (optional_features, "SELECT label, count(*) AS n, CASE WHEN label < 5 THEN count(*) * 2 END AS feature, NULL::BIGINT AS other FROM embeddings GROUP BY 1"),
+    "features_if_present": (features_if_present, "SELECT label, count(*) AS n, CASE WHEN label < 5 THEN count(*) * 2 END AS feature, NULL::BIGINT AS other FROM embeddings GROUP BY 1"),
     "resume_questions": (resumed_questions, "SELECT conv_id * 1000 + turn AS at, md5(text) AS digest FROM conversations WHERE role = 'user' AND conv_id * 1000 + turn >= 40000"),
     "warmup_steps": (
         warmups,

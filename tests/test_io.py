@@ -70,8 +70,10 @@ def test_small_sinks_and_invalidation(spark, tmp_path):
     assert io.invalidate(spark, root, ["embed", "reduce", "cluster", "export"], "embed") == ["reduce", "cluster"]
     assert io.exists(spark, f"{root}/embed") and not io.exists(spark, f"{root}/cluster")
     assert io.read_if_exists(spark, f"{root}/cluster", "id long").count() == 0
-    io.write_object(spark.range(1).withColumn("x", F.lit(None).cast("string")), f"{root}/obj")
-    assert [r["value"] for r in spark.read.text(f"{root}/obj").collect()] == ['{"id":0,"x":null}']
+    io.write_object(spark.range(1).withColumns({"x": F.lit(None).cast("string"), "é": F.lit("ü中")}), f"{root}/obj")
+    body = spark.read.text(f"{root}/obj", wholetext=True).first()[0]
+    assert json.loads(body) == {"id": 0, "x": None, "é": "ü中"} and "\n  " in body and "ü中" in body  # indented, and no escapes
+    assert tuple(io.read_object(spark, f"{root}/obj", "id long, x string, `é` string").first()) == (0, None, "ü中")
     for _ in range(2):
         io.append_log(spark.range(2), f"{root}/log")
     assert spark.read.csv(f"{root}/log", header=True).count() == 4
