@@ -297,7 +297,7 @@ def _align(star: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
             kinds = (pa.binary(), pa.binary(), pa.bool_(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["leader", "node", "linked", "rare"])
 
-    parts = star.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    parts = stored(star.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")), "near-parts")
     followers = star.join(parts, "leader").select("leader", "node", F.pmod(F.xxhash64("node"), F.col("parts")).alias("i"))
     block = F.xxhash64("leader", "i").alias("block")
     heads = parts.select("leader", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts").cast("bigint") - 1)).alias("i"))
