@@ -85,10 +85,10 @@ def content_sort(
         salt = F.coalesce(F.pmod(F.xxhash64(id_name), F.col("_salts")), F.lit(0).cast("bigint"))
         return rows.join(F.broadcast(hot), F.col(digest) == F.col("_hot"), "left").withColumn("_salt", salt).drop("_hot", "_salts")
 
-    keys = salted(slim, "sha", "id").select(sort_key(F.col("prefix"), F.col("sha"), F.col("_salt")).alias("key"))
-    # About SAMPLED keys by partition, picked by a hash, so that equal runs pick alike.
+    keys = salted(slim, "sha", "id").select(sort_key(F.col("prefix"), F.col("sha"), F.col("_salt")).alias("key"), "id")
+    # About SAMPLED rows by partition, picked by a hash, so that equal runs pick alike; a hot content's salts get splitters by their rows.
     chance = min(1.0, SAMPLED * parts / max(1, total))
-    sample = sorted(bytes(r[0]) for r in keys.distinct().filter(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(chance * (1 << 20))).collect())
+    sample = sorted(bytes(r[0]) for r in keys.filter(F.pmod(F.xxhash64("key", "id"), F.lit(1 << 20)) < int(chance * (1 << 20))).select("key").collect())
     splitters = sorted({sample[len(sample) * i // parts] for i in range(1, parts)}) if sample else []
 
     base = salted(df.select(*own, body.alias("_body")).withColumn("_sha", F.unhex(F.sha2("_body", 256))), "_sha", id_col)
