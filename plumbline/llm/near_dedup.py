@@ -247,7 +247,7 @@ def classes(
     comp = merged(comp, _beyond_leaders(checked, comp, texts, similarity))
 
     known = nodes.drop("keys").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    best = known.groupBy("comp").agg(F.min("rep").alias("best"), F.sum("copies").alias("class_size"))
+    best = stored(known.groupBy("comp").agg(F.min("rep").alias("best"), F.sum("copies").alias("class_size")), "near-best")
     found = known.select("node", "comp").join(best, "comp").drop("comp")
     return sk.drop("keys").join(found, "node").select(
         F.col("id").alias(id_col),
